@@ -78,8 +78,8 @@ def arrivals(df: DataFrame, spec: Trailing) -> DataFrame:
         rows = rows.where(F.col(e).isNotNull())
     if spec.row_id:
         keys = [*_entities(spec), _DAY, "__amount"]
-        named = rows.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.min(F.struct("__at", *keys)).alias("r")).select("r.*")
-        rows = named.unionByName(rows.where(F.col("__id").isNull()).select("__at", *keys))
+        alone = F.when(F.col("__id").isNull(), F.monotonically_increasing_id())  # rows without an id are distinct
+        rows = rows.withColumn("__alone", alone).groupBy("__id", "__alone").agg(F.min(F.struct("__at", *keys)).alias("r")).select("r.*")
     big = F.abs(F.col("__amount")) > F.lit(AMOUNT_LIMIT)
     return (
         rows.withColumn(_VERSION, F.coalesce(F.date_trunc(spec.version, "__at").cast("date"), F.lit("0001-01-01").cast("date")))
