@@ -41,14 +41,15 @@ def uniform(*parts: Column | str, seed: int = 0) -> Column:
 def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and source: share wanted, budget, and what the source holds. ``docs``: source, size; ``targets`` is small."""
     held = docs.groupBy("source").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("docs"))
-    grand = held.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("grand"))  # over all documents, sources of no target included
+    # The size of all documents, sources of no target included: held has a row per source.
+    held = held.withColumn("grand", F.sum("held").over(Window.partitionBy(F.lit(0))))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(0)
     wanted = targets.where(F.col("mix").isNotNull() & F.col("source").isNotNull()).groupBy("mix", "source").agg(
         F.sum(positive("weight")).alias("weight"), F.max(positive("max_repeats")).cast("long").alias("max_repeats"), F.max(positive("size_factor")).alias("size_factor")
     )
     mix = Window.partitionBy("mix")
     wanted = wanted.withColumn("target_share", F.when(F.sum("weight").over(mix) > 0, F.col("weight") / F.sum("weight").over(mix)).otherwise(0.0))
-    both = wanted.join(held, "source", "left").join(F.broadcast(grand))  # one row
+    both = wanted.join(held, "source", "left").withColumn("grand", F.coalesce(F.max("grand").over(Window.partitionBy(F.lit(0))), F.lit(0)))
     both = both.withColumns({"held": F.coalesce("held", F.lit(0)), "docs": F.coalesce("docs", F.lit(0)), "budget": F.col("target_share") * F.col("size_factor") * F.col("grand")})
     epochs = F.when(F.col("held") > 0, F.least(F.floor(F.expr("try_divide(budget, held)")), F.col("max_repeats"))).otherwise(0).cast("long")
     both = both.withColumn("epochs", epochs)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm.mixing import mix_sources, shares
 from quillon.llm.packing import containers, pack_items
 from quillon.llm.percentiles import merge, percentiles, summaries
+from quillon.llm.residue import mark_residue, without_residue
 from quillon.llm.topn import top_n
 
 SEED = 7
@@ -90,8 +91,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(_mixed(spark, sf_dir), _sized(spark, sf_dir), _table(spark, sf_dir, "mix_targets"), "source", "size", "doc_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mark_residue(docs).where("residue IS NOT NULL").select("doc_id")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    return without_residue(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_top_sales, p2_found, p2_percentiles, p2_weeks, p6_pack, p6_unused, p7_mix, p7_shares]
+    named = [p1_found, p1_top_sales, p2_found, p2_percentiles, p2_weeks, p6_pack, p6_unused, p7_mix, p7_shares, p8_found, p8_kept]
     return {f.__name__: f for f in named}
 
 
