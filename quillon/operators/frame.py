@@ -123,7 +123,7 @@ def where(df: DataFrame, column: str, op: str, value: object) -> DataFrame:
 
 def drop_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     need(df, *(columns or []))
-    return df.dropna("any", list(columns) if columns else None)
+    return df.dropna("any", subset=list(columns) if columns else None)
 
 
 def row_filter(df: DataFrame, predicate: Callable[[dict], bool]) -> DataFrame:

@@ -55,8 +55,8 @@ def sessions(df: DataFrame, user: str, at: str, tie: Sequence[str], gap_minutes:
     """Numbers each user's sessions from 1: a new one begins after a pause of more than ``gap_minutes``."""
     need(df, user, at, *tie)
     w = Window.partitionBy(quoted(user)).orderBy(quoted(at), *[quoted(t) for t in tie])
-    pause = F.timestamp_diff("SECOND", F.lag(quoted(at)).over(w), quoted(at)) if at else None
-    begins = F.when(F.lag(quoted(at)).over(w).isNull() | (pause > gap_minutes * 60), 1).otherwise(0)
+    pause = F.timestamp_diff("MICROSECOND", F.lag(quoted(at)).over(w), quoted(at))
+    begins = F.when(pause.isNull() | (pause > gap_minutes * 60_000_000), 1).otherwise(0)
     return df.withColumn("__begins", begins).withColumn(name, F.sum("__begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__begins")
 
 
