@@ -82,7 +82,7 @@ def arrivals(df: DataFrame, spec: Trailing) -> DataFrame:
         rows = rows.withColumn("__alone", alone).groupBy("__id", "__alone").agg(F.min(F.struct("__at", *keys)).alias("r")).select("r.*")
     big = F.abs(F.col("__amount")) > F.lit(AMOUNT_LIMIT)
     return (
-        rows.withColumn(_VERSION, F.coalesce(F.date_trunc(spec.version, "__at").cast("date"), F.lit("0001-01-01").cast("date")))
+        rows.withColumn(_VERSION, F.coalesce(F.date_trunc(spec.version, "__at").cast("date"), F.lit("1970-01-01").cast("date")))
         .groupBy(_VERSION, *_entities(spec), _DAY)
         .agg(
             F.coalesce(F.sum(F.when(~big, F.col("__amount").cast(AMOUNT_TYPE))), F.lit(0)).cast(AMOUNT_TYPE).alias("a_amt"),

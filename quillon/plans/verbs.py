@@ -130,24 +130,28 @@ class Reduce:
 def rollup(grouped: DataFrame | tuple[DataFrame, Sequence[str]], **spec: Column | Reduce) -> DataFrame:
     """One row per group (or one in all): built-in aggregates, and Python reductions as grouped pandas functions."""
     df, keys = grouped if isinstance(grouped, tuple) else (grouped, [])
-    aggs = []
-    for name, item in spec.items():
-        if isinstance(item, Reduce):
-            fn = item.fn
+    built = {n: x for n, x in spec.items() if isinstance(x, Column)}
+    made = {n: _grouped(x)(*[frame.quoted(c) for c in x.columns]) for n, x in spec.items() if isinstance(x, Reduce)}
+    for name in set(spec) - set(built) - set(made):
+        raise InvalidOperation(f"{name!r} is no aggregate")
+    parts = [df.groupBy(*[frame.quoted(k) for k in keys]).agg(*[x.alias(n) for n, x in p.items()]) for p in (built, made) if p]
+    if len(parts) == 1:
+        return parts[0]
+    # Python reductions cannot share a pass with built-in aggregates: two passes, joined by group.
+    right = parts[1].withColumnsRenamed({k: f"__{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & frame.quoted(k).eqNullSafe(frame.quoted(f"__{k}"))
+    return parts[0].join(right, condition).select(*[frame.quoted(c) for c in [*keys, *spec]])
+
+
+def _grouped(item: Reduce) -> Callable[..., Column]:
+    import warnings
 
-            def reduce(*columns: pd.Series, _fn: Callable[..., object] = fn) -> object:
-                return _fn(*columns)
-
-            item = _grouped(item, reduce)(*[frame.quoted(c) for c in item.columns])
-        elif not isinstance(item, Column):
-            raise InvalidOperation(f"{name!r} is no aggregate")
-        aggs.append(item.alias(name))
-    return df.groupBy(*[frame.quoted(k) for k in keys]).agg(*aggs)
-
-
-def _grouped(item: Reduce, fn: Callable[..., object]) -> Callable[..., Column]:
     from pyspark.sql.functions import PandasUDFType, pandas_udf
 
+    fn = item.fn
+    warnings.filterwarnings("ignore", "In Python 3.6", UserWarning)
     if len(item.columns) == 1:
 
         def one(x: pd.Series) -> object:
