@@ -20,9 +20,9 @@ def nearest(values: list[float], p: float) -> float:
 def data(seed: int = 3) -> list[tuple]:
     rng = random.Random(seed)
     rows = []
-    for i in range(160):
+    for i in range(70):
         b = "hot" if i % 3 == 0 else rng.choice(["x", "y", None])
-        length = rng.choice([0, 1, 5, 30, 3000 if i % 40 == 0 else 2])
+        length = rng.choice([0, 1, 5, 30, 1500 if i % 40 == 0 else 2])
         values = [rng.choice([None, float("nan"), float("inf"), float("-inf"), -0.0, 7.0, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)]) for _ in range(length)]
         rows.append((b, rng.choice(["d1", "d2", None]), None if i % 29 == 0 else values, 1, 1))
     return rows
@@ -38,7 +38,7 @@ def groups(rows: list[tuple], by: tuple[int, ...]) -> dict:
 
 
 def test_exact_for_every_group_of_every_grouping(spark):
-    rows, ps = data(), [0.0, 0.5, 0.95, 1.0]
+    rows, ps = data(), [0.0, 0.5, 0.95]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     found = percentiles(df, [["b"], ["b", "d"]], "samples", ps).collect()
     want = {(0, b, None, p): (len(v), nearest(v, p)) for (b,), v in groups(rows, (0,)).items() for p in ps}
@@ -56,11 +56,11 @@ def test_all_equal_values_and_empty_input(spark):
 
 def test_merged_summaries_keep_the_rank_error(spark):
     rng = random.Random(9)
-    rows = [("a", f"d{i % 6}", [rng.expovariate(1 + i % 6) for _ in range(50)], 1, 1) for i in range(60)]
+    rows = [("a", f"d{i % 6}", [rng.expovariate(1 + i % 6) for _ in range(20)], 1, 1) for i in range(24)]
     df = spark.createDataFrame(rows, SCHEMA)
     points = 20
     days = summaries(df, ["b", "d"], "samples", points)
-    assert days.groupBy("d").sum("weight").first()[1] == 500
+    assert days.groupBy("d").sum("weight").first()[1] == 80
     values = sorted(v for r in rows for v in r[2])
     for r in merge(days, ["b"], [0.5, 0.95]).collect():
         assert r["n"] == len(values)
