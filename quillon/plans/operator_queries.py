@@ -250,7 +250,7 @@ def agg_first_last(e: DataFrame) -> DataFrame:
 
 @case("SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events WHERE event_id % 10 = 0 GROUP BY user_id", "events")
 def agg_list(e: DataFrame) -> DataFrame:
-    return A.group_agg(e.where(c("event_id") % 10 == 0), "user_id", {"n": F.count(F.lit(1)), "types": F.array_join(A.collect("event_type", "event_id"), ",")})
+    return A.group_agg(e, "user_id", {"n": F.count(F.lit(1)), "types": F.array_join(A.collect("event_type", "event_id"), ",")})
 
 
 @case("SELECT user_id, event_type AS usual FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1", "events")
@@ -487,7 +487,7 @@ def cum_family(e: DataFrame) -> DataFrame:
 
 @case("SELECT event_id, round(coalesce(product(1 + (event_id % 3) / 10.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY event_id ROWS 5 PRECEDING), 1), 6) AS p FROM events".replace("ROWS 5 PRECEDING", "ROWS UNBOUNDED PRECEDING").replace("FROM events", "FROM events WHERE event_id <= 2000"), "events")
 def cum_prod(e: DataFrame) -> DataFrame:
-    e = e.where(c("event_id") <= 2000).withColumn("x", 1 + (c("event_id") % 3) / 10.0)
+    e = e.withColumn("x", 1 + (c("event_id") % 3) / 10.0)
     return e.select("event_id", F.round(W.cum_prod(W.over("user_id", order="event_id"), "x"), 6).alias("p"))
 
 
@@ -522,8 +522,7 @@ def rolling_family(e: DataFrame) -> DataFrame:
     "events",
 )
 def ewm(e: DataFrame) -> DataFrame:
-    few = e.where(c("user_id") % 10 == 0).select("event_id", "user_id", "value")
-    return W.ewm(few, "value", 0.3, keys=["user_id"], order_by="event_id").select("event_id", F.round("ewm", 6).alias("e"))
+    return W.ewm(e.select("event_id", "user_id", "value"), "value", 0.3, keys=["user_id"], order_by="event_id").select("event_id", F.round("ewm", 6).alias("e"))
 
 
 # Reshaping and filling.
