@@ -614,8 +614,11 @@ def fill_backward(e: DataFrame) -> DataFrame:
     "lineitem",
 )
 def impute_expand(li: DataFrame) -> DataFrame:
-    few = li.where((c("l_quantity") > 49.5) & (c("l_suppkey") % 50 == 1)).select("l_returnflag", "l_linenumber", c("l_quantity").alias("q"))
-    return R.impute(few, {"q": 0.0}, ["l_returnflag", "l_linenumber"], order_by="q")
+    # Gaps by value: no row is left out, but one combination of keys has moved to a null key and the quantities of another are null.
+    flag, number = c("l_returnflag"), c("l_linenumber")
+    moved = F.when(~((flag == "A") & (number == 7)), number).alias("l_linenumber")
+    rows = li.select(flag, moved, F.when(~((flag == "R") & (number == 1)), c("l_quantity")).alias("q"))
+    return R.impute(rows, {"q": 0.0}, ["l_returnflag", "l_linenumber"], order_by="q")
 
 
 @case(f"SELECT event_id, v FROM {_EV} WHERE v IS NOT NULL", "events")

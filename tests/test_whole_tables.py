@@ -61,3 +61,14 @@ def test_agg_list_of_all_events(run):
     want = {(user, len(events), ",".join(r["event_type"] for r in events)) for user, events in by_user().items()}
     got = run("agg_list")
     assert len(got) == len(want) and set(got) == want
+
+
+def test_impute_expand_of_all_lineitems(run):
+    cells: dict[tuple, float] = {}
+    for r in table("lineitem").to_dict("records"):
+        key = (r["l_returnflag"], None if (r["l_returnflag"], r["l_linenumber"]) == ("A", 7) else r["l_linenumber"])
+        if (r["l_returnflag"], r["l_linenumber"]) != ("R", 1):
+            cells[key] = max(cells.get(key, 0.0), r["l_quantity"])
+    want = {(flag, number): cells.get((flag, number), 0.0) for flag in "ANR" for number in (None, *range(1, 8))}
+    got = run("impute_expand")
+    assert len(got) == 24 and {(flag, number): q for flag, number, q in got} == want
