@@ -393,7 +393,7 @@ def concat_missing_cols(n: DataFrame, r: DataFrame) -> DataFrame:
 @case("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY status DESC NULLS LAST, o_orderkey LIMIT 200", "orders")
 def sort_nulls_last(o: DataFrame) -> DataFrame:
     o = o.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"))
-    return P.sort_by(o, ["status", "o_orderkey"], ["desc"]).limit(200)
+    return P.sort_by(o, ["status", "o_orderkey"], ["desc"])
 
 
 @case("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25", "orders")
@@ -648,7 +648,7 @@ def rollup_compat(li: DataFrame) -> DataFrame:
 
 @case("SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 9", "nation")
 def orderby_compat(n: DataFrame) -> DataFrame:
-    return verbs.orderby(verbs.select(n, verbs.without("n_nationkey")), verbs.desc("n_regionkey"), "n_name").limit(9)
+    return verbs.orderby(verbs.select(n, verbs.without("n_nationkey")), verbs.desc("n_regionkey"), "n_name")
 
 
 @case("SELECT user_id, round(max(value) - min(value), 6) AS span FROM events GROUP BY user_id", "events")

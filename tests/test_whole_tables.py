@@ -72,3 +72,15 @@ def test_impute_expand_of_all_lineitems(run):
     want = {(flag, number): cells.get((flag, number), 0.0) for flag in "ANR" for number in (None, *range(1, 8))}
     got = run("impute_expand")
     assert len(got) == 24 and {(flag, number): q for flag, number, q in got} == want
+
+
+def test_sort_returns_every_order(run):
+    status = {r["o_orderkey"]: None if r["o_orderstatus"] == "F" else r["o_orderstatus"] for r in table("orders").to_dict("records")}
+    keys = sorted(status)
+    want = [(k, s) for s in ("P", "O", None) for k in keys if status[k] == s]
+    assert len(want) == len(status) and run("sort_nulls_last") == want
+
+
+def test_orderby_returns_every_nation(run):
+    rows = table("nation").to_dict("records")
+    assert run("orderby_compat") == sorted(((r["n_name"], r["n_regionkey"]) for r in rows), key=lambda r: (-r[1], r[0]))
