@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 import pytest
 
@@ -84,3 +86,26 @@ def test_sort_returns_every_order(run):
 def test_orderby_returns_every_nation(run):
     rows = table("nation").to_dict("records")
     assert run("orderby_compat") == sorted(((r["n_name"], r["n_regionkey"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer", "semi", "anti"])
+def test_joins_of_all_orders_and_customers(run, how):
+    orders = [(r["o_orderkey"], None if r["o_custkey"] == 12 else r["o_custkey"]) for r in table("orders").to_dict("records")]
+    names = {r["c_custkey"] + 10: r["c_name"] for r in table("customer").to_dict("records")}
+    used = {k for _, k in orders}
+    matched = [(k, o, names[k]) for o, k in orders if k in names]
+    lone_orders = [(k, o, None) for o, k in orders if k not in names]
+    lone_customers = [(k, None, n) for k, n in names.items() if k not in used]
+    assert matched and lone_orders and lone_customers and None in used
+    want = {
+        "inner": matched, "left": matched + lone_orders, "right": matched + lone_customers, "outer": matched + lone_orders + lone_customers,
+        "semi": [(o, k) for k, o, _ in matched], "anti": [(o, k) for k, o, _ in lone_orders],
+    }[how]
+    assert Counter(run(f"join_{how}")) == Counter(want)
+
+
+def test_pivot_count_of_all_line_numbers(spark):
+    cells = Counter((r["l_returnflag"], r["l_linenumber"]) for r in table("lineitem").to_dict("records"))
+    out = entry.queries()["pivot_count"](spark, DIR)
+    assert out.columns == ["l_returnflag", *"1234567"]
+    assert sorted(map(tuple, out.collect())) == [(flag, *(cells[flag, n] for n in range(1, 8))) for flag in "ANR"]
