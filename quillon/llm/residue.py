@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -173,6 +174,10 @@ _STRONG_TALK = re.compile(_TALK.pattern.replace("|me|", "|").replace("|too|fine|
 # Runs of keys typed for want of words.
 _MASH = re.compile(r"^(?:asdf\w{0,6}|qwe\w{0,6}|sdfg?\w{0,4}|jkl\w{0,3}|uiop|zxcv\w{0,3}|yxcv\w{0,3}|lkj\w{0,4}|fghj?\w{0,3})$")
 
+# What such runs, and words of one letter, have in a line.
+_KEYS = ("asdf", "qwe", "sdf", "jkl", "uiop", "zxcv", "yxcv", "lkj", "fgh")
+_MASHED = re.compile("|".join(_KEYS) + r"|([^\W\d_])\1\1")
+
 
 def _repeats(words: list[str]) -> bool:
     """Few words over and over, or letters over and over."""
@@ -181,36 +186,42 @@ def _repeats(words: list[str]) -> bool:
         return True
     if n < 3:
         return False
-    most = max(words.count(w) for w in set(words)) if n < 200 else max(map(words[:200].count, set(words[:200])))
     distinct = len(set(words))
-    return distinct <= n / 2 and most >= 3 and (distinct <= 4 or distinct <= n / 6)
+    return distinct <= n / 2 and (distinct <= 4 or distinct <= n / 6) and max(Counter(words).values()) >= 3
 
 
-def is_filler(segment: str) -> bool:
-    words = [w.lower() for w in _WORD.findall(segment)]
-    if not words or CODE in segment:
+def _says_nothing(segment: str) -> bool:
+    """Mock Latin, repetition or runs of keys."""
+    words = _WORD.findall(segment.lower())
+    if len(words) < 2 or CODE in segment:
         return False
-    mock = sum(w in MOCK_LATIN for w in words)
-    if len(words) >= 3 and mock >= 0.7 * len(words):
+    if len(words) >= 3 and sum(w in MOCK_LATIN for w in words) >= 0.7 * len(words):
         return True
-    if _repeats(words) or (len(words) >= 2 and sum(map(bool, map(_MASH.match, words))) >= 0.7 * len(words)):
-        return True
-    return bool(FILLER.search(segment)) and not _STRONG_TALK.search(segment)
+    return _repeats(words) or sum(w.startswith(_KEYS) and bool(_MASH.match(w)) for w in words) >= 0.7 * len(words)
+
+
+def is_filler(segment: str) -> bool:
+    if CODE in segment:
+        return False
+    return _says_nothing(segment) or (bool(FILLER.search(segment)) and not _STRONG_TALK.search(segment))
 
 
 def has_filler(own: str) -> bool:
     """Whether some line or sentence of the text is filler."""
     low = own.lower()
-    if any(word in low for word in _FILLER_WORDS) and FILLER.search(own) and any(is_filler(s) for parts in segments(own) for s in parts):
+    announced = any(word in low for word in _FILLER_WORDS)
+    if announced and FILLER.search(own) and any(is_filler(s) for parts in segments(own) for s in parts):
         return True
     for line in _TAG.sub("\n", own).split("\n"):
-        words = line.lower().split()
+        low = line.lower()
+        words = _WORD.findall(low)
         if len(words) < 2:
             continue
-        if 2 * len(set(words)) <= len(words) + 3 and is_filler(line):
+        if announced and is_filler(line):
             return True
-        mock = len(MOCK_LATIN.intersection(words))
-        if mock >= 3 and (is_filler(line) or any(is_filler(s) for parts in segments(line) for s in parts)):
+        # What says nothing, the line or a sentence of it, needs one of these.
+        some = (len(words) - len(set(words)) >= 2 and max(Counter(words).values()) >= 3) or _MASHED.search(low) or (not MOCK_LATIN.isdisjoint(words) and sum(w in MOCK_LATIN for w in words) >= 3)
+        if some and (_says_nothing(line) or any(_says_nothing(s) for parts in segments(line) for s in parts)):
             return True
     return False
 
@@ -246,7 +257,7 @@ ERROR = re.compile(
     re.I,
 )
 FURNITURE = re.compile(
-    r"^(?:\W*|(?:error |request |ray |trace |correlation )?(?:id|reference|référence|referencia|referência|kennung|ref|request id|error id|code|incident)\W{0,4}[\da-f-]{4,}\W*|time\W{1,3}\d+ ?ms|\w+/\d[\d. ]*|\d{3}|(?:search|home|help|forum|login|sign in|faq|about|contact|q ?& ?a|questions|answers|start|suche|hilfe|startseite|recherche|accueil|aide|buscar|inicio|ayuda|busca|início|ajuda|menu|loading|laden|chargement|cargando|carregando)\W*"
+    r"^(?:\W*|(?:error |request |ray |trace |correlation )?(?:id|reference|référence|referencia|referência|kennung|ref|request id|error id|code|incident)\W{0,4}[\da-f-]{4,}+\W*|time\W{1,3}\d+ ?ms|\w+/\d[\d. ]*|\d{3}|(?:search|home|help|forum|login|sign in|faq|about|contact|q ?& ?a|questions|answers|start|suche|hilfe|startseite|recherche|accueil|aide|buscar|inicio|ayuda|busca|início|ajuda|menu|loading|laden|chargement|cargando|carregando)\W*"
     r"|(?:go )?back (?:to the (?:start|home|previous|main) ?page|home|or try the search|to start)\W*|(?:go )?back\W*|contact the (?:owner|administrator|webmaster)\b.*|zur(?:ück zur)? (?:startseite|suche)\W*|retour à l'accueil\W*|volver al inicio\W*|voltar ao início\W*|allow them and reload\W*|(?:then |and |please )*reload(?: the page)?\W*|(?:please )?(?:wait|try again|retry)\W*|enable cookies\W*|if nothing happens\W*)$",
     re.I,
 )
@@ -259,6 +270,7 @@ FURNITURE_IN = re.compile(
 _OBJECT = re.compile(r"^\s*\{\s*\"(?:status|code|error|message|statusCode|ok|success|errors?|detail)\"\s*:[^\n]{0,400}\}\s*$")
 _ERROR_WORD = re.compile(r"\"(?:error|errors|message|detail|title|reason|code)\"\s*:", re.I)
 LONE_CODE = re.compile(rf"^\W*(?:https?|error|status|code|fehler|erreur|erro)?\W*(?:status|code|error)?\W*{_CODE_NUMBER}\W*$", re.I)
+_NO_WORD = re.compile(r"\W+")
 _XML_ERROR = re.compile(r"(?is)^\s*(?:<\?xml[^>]*>\s*)?<(?:error|fault|response)\b.{0,600}</(?:error|fault|response)>\s*$")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,100}>")
 _SITE = re.compile(r"^\W*[A-Z][\w'&]*(?: [A-Z][\w'&]*){0,2}(?: (?:Forum|Help|Q ?& ?A|Community|Support|Hilfe|Aide|Ayuda|Ajuda))?\W*$")
@@ -279,11 +291,12 @@ def segments(text: str) -> list[list[str]]:
 
 def kind_of(segment: str) -> str:
     """'notice', 'error', 'code' (a status number), 'furniture', 'site' or 'words'."""
-    if FURNITURE.match(segment) and not LONE_CODE.match(segment):
+    lone = LONE_CODE.match(_NO_WORD.sub(" ", segment))  # runs of other signs as one blank, so that the time is linear
+    if FURNITURE.match(segment) and not lone:
         return "furniture"
     if CODE not in segment and len(segment) < 240:
         talk = _STRONG_TALK.search(segment)
-        if LONE_CODE.match(segment):
+        if lone:
             return "code"
         if NOTICE.search(segment) and not talk:
             return "notice"
@@ -292,8 +305,6 @@ def kind_of(segment: str) -> str:
     return "site" if _SITE.match(segment) and len(segment) < 40 else "words"
 
 
-#: A page in place of a post is short: no longer text is one as a whole.
-PAGE_CHARS = 4000
 _FRAME = re.compile(r"(?im)^[^\S\n]*at\s+[\w.]+\s*\(line\s+\d+\s*\)[^\S\n]*$\n?")
 _TRACE = re.compile(r"\btraceback\b", re.I)
 
@@ -305,8 +316,6 @@ def page_kind(text: str, own: str) -> str | None:
     lines = text.strip().split("\n")
     if any(_OBJECT.match(x) and _ERROR_WORD.search(x) for x in lines[:2] + lines[-1:]) and len(lines) <= 4:
         return "error page"
-    if len(own) > PAGE_CHARS:
-        return None
     trace = bool(_TRACE.search(text))
     if trace:
         own = own_words(_FRAME.sub("", text))  # the lines of a trace may be indented like code

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from quillon.llm.residue import mark_residue, residue_of, without_residue
+from quillon.llm.residue import is_filler, mark_residue, residue_of, without_residue
 
 SLOTS = [
     "Dear {{ first_name }},", "Hello {{{user}}} team, thanks for writing.", "Your order {{order.id | default}} is on its way.", "Hi [[name]]!", "Kind regards, %AGENT%", "See %%topic%% for more.",
@@ -48,3 +48,27 @@ def test_time_is_linear_in_the_length(unit):
         residue_of(text)
         took.append(time.perf_counter() - began)
     assert took[1] < 12 * took[0] + 0.5
+
+
+def test_no_text_is_too_long_to_be_read():
+    trace = "404 Not Found\nTraceback:\n" + "  at app.run (line 12)\n" * 400
+    furniture = "Service Unavailable\n" + "Request id 1f2e3d4c\n" * 400
+    distinct = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    assert [residue_of(x) for x in (trace, furniture, distinct + " blah" * 3000, distinct)] == ["error page", "error page", "filler", None]
+
+
+@pytest.mark.parametrize("text", ["asdf jkl qwer zxcv", "aaaa bbbb cccc dddd", "blah-blah-blah-blah", "It starts here. blah blah blah blah. It ends there.", "lorem lorem ipsum"])
+def test_filler_of_any_make(text):
+    assert is_filler(text) or "." in text
+    assert residue_of(text) == "filler"
+
+
+@pytest.mark.parametrize("unit", ["- ", "id ---", "! 4", "asdf ", "404\n", "at x (line 1)\n"])
+def test_time_of_pages_is_linear_in_the_length(unit):
+    took = []
+    for n in (20_000, 80_000):
+        text = "id " + unit * (n // len(unit)) + "x"
+        began = time.perf_counter()
+        residue_of(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
