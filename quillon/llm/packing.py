@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Items in a shard, on average.
 SHARD_ITEMS = 4096
+#: Capacities up to which their table is broadcast.
+BROADCAST_ROWS = 100_000
 #: Shares of the capacity up to which items are placed tightly, the best balanced first.
 TIGHT = (0.0, 0.25, 0.5)
 OUT = "capacity_id int, capacity int, container long, {id} {kind}, piece int, piece_start long, piece_size long"
@@ -82,12 +84,12 @@ def pack_items(df: DataFrame, capacities: DataFrame, item_id: str, size: str, sh
     shards = max(1, -(-df.where(F.col(size) > 0).count() // shard_items))
     kind = items.schema[item_id].dataType.simpleString()
     work = items.withColumn("__shard", F.pmod(F.xxhash64(item_id), F.lit(shards)).cast("int"))
-    # As many rows as items x capacities; each capacity is one more projection of the same small pairs.
-    each = [F.struct(F.lit(r["__cap_id"]).cast("int").alias("__cap_id"), F.lit(r["__cap"]).cast("int").alias("__cap")) for r in caps.orderBy("__cap_id").take(1000)]
+    # As many rows as items x capacities. Two ints per capacity are broadcast, if the counted table is small; else Spark plans the product.
     schema = OUT.format(id=f"`{item_id}`", kind=kind)
-    if not each:
+    known = caps.count()
+    if not known:
         return df.sparkSession.createDataFrame([], schema)
-    work = work.select(item_id, "__size", "__shard", F.explode(F.array(*each)).alias("__c")).select(F.col(item_id).alias("__id"), "__size", "__shard", "__c.*")
+    work = work.select(F.col(item_id).alias("__id"), "__size", "__shard").crossJoin(F.broadcast(caps) if known <= BROADCAST_ROWS else caps)
     names = ["capacity_id", "capacity", "container", item_id, "piece", "piece_start", "piece_size"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

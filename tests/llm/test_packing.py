@@ -75,3 +75,11 @@ def test_empty(spark):
     caps = spark.createDataFrame([(1, 100)], "capacity_id int, capacity int")
     assert pack_items(df, caps, "doc", "size").count() == 0
     assert pack_items(df, caps.limit(0), "doc", "size").count() == 0
+
+
+def test_no_capacity_is_dropped(spark):
+    df = spark.createDataFrame([(1, 5), (2, 3)], "doc long, size int")
+    caps = spark.range(1, 1201).selectExpr("cast(id as int) capacity_id", "cast(id as int) capacity")
+    out = pack_items(df, caps, "doc", "size").toPandas()
+    assert set(out.capacity_id) == set(range(1, 1201))
+    assert all(g.piece_size.sum() == 8 for _, g in out.groupby("capacity_id"))
