@@ -1,6 +1,6 @@
 """Flattening deeply nested records into related flat tables that keep parent-child links.
 
-Method: each record is parsed as a stream into path-value-ordinal triples, the triples are grouped by their repeated ancestor
+Method: each record is parsed whole and walked into path-value-ordinal triples, the triples are grouped by their repeated ancestor
 (the list they belong to), and each group is pivoted into one table whose key is the record id and the ordinals of the lists on
 the way. A layout names the lists and their leaf fields, because the texts drift: a list may be written as an array, as an
 object with the places as keys, as one object alone, as JSON text inside JSON, or directly in place of the object that should
@@ -10,10 +10,10 @@ Only the parse runs in Python (one record at a time, Arrow batches out); groupin
 combining, where the triples of a row, adjacent as they are parsed, become one row before the shuffle. Records delivered twice
 fold in the same aggregate.
 
-Defined results for edge cases: null, empty or malformed text gives the record's own row without values and no children; null
-places in a list count as positions but give no row; an empty list, ``{}`` or blank text in place of a list has no rows; values
-that are no number where one is declared become null; extra fields are ignored; among differing copies of one record the largest
-value of each field is kept; an empty table gives empty tables.
+Defined results for edge cases: null, empty or malformed text, or text nested too deep for the parser, anywhere in it, gives the
+record's own row without values and no children; null places in a list count as positions but give no row; an empty list, ``{}``
+or blank text in place of a list has no rows; values that are no number where one is declared become null; extra fields are
+ignored; among differing copies of one record the largest value of each field is kept; an empty table gives empty tables.
 """
 
 from __future__ import annotations
