@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import ColumnNotFound, InvalidOperation, ShapeMismatch, TypeMismatch
+from quillon.session import Workspace
 from quillon.types import cast_column
 
 Order = str | Column | Sequence[str | Column]
@@ -74,10 +75,10 @@ def derive(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 def assign(left: DataFrame, right: DataFrame, left_order: Order, right_order: Order) -> DataFrame:
     """Puts the columns of two frames side by side by position, the right ones winning on a name clash."""
-    if left.count() != right.count():
-        raise ShapeMismatch("frames differ in length")
     key = free_name(left, free_name(right, "__pos"))
     a, b = with_position(left, left_order, key), with_position(right, right_order, key)
+    if a.count() != b.count():
+        raise ShapeMismatch("frames differ in length")
     kept = [quoted(c) for c in left.columns if c not in right.columns]
     both = a.select(key, *kept).join(b, key)
     return both.select(*[quoted(c) for c in dict.fromkeys([*left.columns, *right.columns])])
@@ -225,20 +226,29 @@ def _reversed(_: Column) -> Column:
     raise InvalidOperation("keep='last' takes column names in order_by")
 
 
+def ranged(df: DataFrame, order_by: Order, part: str, inner: str) -> DataFrame:
+    """``df`` in range partitions of a total order, with the partition's number and the 0-based place in it.
+
+    One shuffle; the rows are written once with both numbers, since the bounds of a range partitioning are sampled anew, and
+    partitions are coalesced differently, whenever it is planned again.
+    """
+    order = order_columns(order_by, "a position")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumns({part: F.spark_partition_id(), inner: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    return Workspace(df.sparkSession, "ranged").write(rows, "rows")
+
+
 def with_position(df: DataFrame, order_by: Order, name: str = "__pos") -> DataFrame:
     """Adds the 0-based position in a total order without moving all rows into one task.
 
-    Rows are range-partitioned and sorted; the partitions' counts, one number each, give the offsets that turn the
-    positions within a partition into global ones.
+    Rows are range-partitioned, sorted and written with their place in the partition (:func:`ranged`); the partitions' counts,
+    one number each, give the offsets that turn places into global positions.
     """
-    order = order_columns(order_by, "a position")
-    inner, part = free_name(df, "__in_part"), free_name(df, "__part")
-    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    within = ranged.withColumn(inner, F.row_number().over(Window.partitionBy(part).orderBy(*order)).cast("bigint"))
-    counts = ranged.groupBy(part).count()
-    offsets = counts.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias("__offset"))  # a row per partition
-    joined = within.join(F.broadcast(offsets), part)
-    return joined.withColumn(name, F.col(inner) + F.col("__offset") - 1).drop(inner, part, "__offset")
+    inner, part, before = free_name(df, "__in_part"), free_name(df, "__part"), free_name(df, "__offset")
+    rows = ranged(df, order_by, part, inner)
+    counts = rows.groupBy(part).count()
+    offsets = counts.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(before))  # a row per partition
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col(inner) + F.col(before)).drop(inner, part, before)
 
 
 # Set operations: null equals null, rows are distinct, schemas match by name and type.

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import InvalidOperation, TypeMismatch
 from quillon.operators import aggregates
-from quillon.operators.frame import Order, free_name, need, order_columns, quoted
+from quillon.operators.frame import Order, free_name, need, order_columns, quoted, ranged
 from quillon.types import num_to_text
 
 #: A pivot or spread makes a column per value; more than so many is refused rather than planned.
@@ -165,10 +165,28 @@ def fill_backward(df: DataFrame, *, order_by: Order, keys: Sequence[str] = (), c
 def _fill(df: DataFrame, order_by: Order, keys: Sequence[str], columns: Sequence[str] | None, forward: bool) -> DataFrame:
     chosen = [c for c in df.columns if c not in keys] if columns is None else list(columns)
     need(df, *chosen, *keys)
-    w = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order_columns(order_by, "filling"))
+    if not keys:
+        return _fill_whole(df, order_by, chosen, forward)
+    return df.withColumns(_carried(chosen, Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order_columns(order_by, "filling")), forward))
+
+
+def _carried(columns: Sequence[str], w: WindowSpec, forward: bool) -> dict[str, Column]:
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    fill = {c: F.last(quoted(c), True).over(before) if forward else F.first(quoted(c), True).over(after) for c in chosen}
-    return df.withColumns(fill)
+    return {c: F.last(quoted(c), True).over(before) if forward else F.first(quoted(c), True).over(after) for c in columns}
+
+
+def _fill_whole(df: DataFrame, order_by: Order, columns: Sequence[str], forward: bool) -> DataFrame:
+    """Filling without keys: each range partition fills itself and takes what is left from its neighbours' edge values, a row
+    per partition."""
+    part, inner = free_name(df, "__part"), free_name(df, "__inner")
+    rows = ranged(df, order_by, part, inner)
+    held = [(F.max_by if forward else F.min_by)(quoted(c), F.when(quoted(c).isNotNull(), F.col(inner))).alias(f"e{i}") for i, c in enumerate(columns)]
+    w = Window.orderBy(part)
+    reach = w.rowsBetween(Window.unboundedPreceding, -1) if forward else w.rowsBetween(1, Window.unboundedFollowing)
+    edges = [(F.last if forward else F.first)(f"e{i}", True).over(reach).alias(free_name(df, f"__edge{i}")) for i in range(len(columns))]
+    edge = rows.groupBy(part).agg(*held).select(part, *edges)
+    filled = rows.withColumns(_carried(columns, Window.partitionBy(part).orderBy(inner), forward)).join(F.broadcast(edge), part)
+    return filled.withColumns({c: F.coalesce(quoted(c), F.col(free_name(df, f"__edge{i}"))) for i, c in enumerate(columns)}).select(*[quoted(c) for c in df.columns])
 
 
 def impute(df: DataFrame, values: Mapping[str, object], expand: Sequence[str] = (), *, order_by: Order | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.errors import InvalidOperation
-from quillon.operators.frame import Order, free_name, need, order_columns, quoted
+from quillon.operators.frame import Order, free_name, need, order_columns, quoted, ranged
 
 
 def ordered(name: str, direction: str = "asc") -> Column:
@@ -171,16 +171,15 @@ def ewm(df: DataFrame, x: str, alpha: float, *, keys: Sequence[str], order_by: s
 
 
 def running_total(df: DataFrame, x: str, order_by: Order, name: str = "running_total") -> DataFrame:
-    """A cumulative sum over the whole frame without a one-task window.
+    """A cumulative sum over the whole frame without a one-task window; a name in use gets an underscore.
 
-    Rows are range-partitioned by the order; each partition sums its own rows, and the partitions' totals, a row each, give
-    the offsets.
+    Rows are range-partitioned by the order and written once; each partition sums its own rows, and the partitions' totals, a row
+    each, give the offsets.
     """
     need(df, x)
-    order = order_columns(order_by, "a running total")
-    part, inner, name = free_name(df, "__part"), free_name(df, "__inner"), free_name(df, name)
-    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    within = ranged.withColumn(inner, F.coalesce(F.sum(quoted(x)).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    totals = ranged.groupBy(part).agg(F.coalesce(F.sum(quoted(x)), F.lit(0)).alias("__t"))
-    offsets = totals.select(part, (F.sum("__t").over(Window.orderBy(part)) - F.col("__t")).alias("__offset"))
-    return within.join(F.broadcast(offsets), part).withColumn(name, F.col(inner) + F.col("__offset")).drop(part, inner, "__offset")
+    part, inner, before, name = free_name(df, "__part"), free_name(df, "__inner"), free_name(df, "__offset"), free_name(df, name)
+    rows = ranged(df, order_by, part, inner)
+    within = rows.withColumn(name, F.coalesce(F.sum(quoted(x)).over(Window.partitionBy(part).orderBy(inner).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    totals = rows.groupBy(part).agg(F.coalesce(F.sum(quoted(x)), F.lit(0)).alias("t"))
+    offsets = totals.select(part, (F.sum("t").over(Window.orderBy(part)) - F.col("t")).alias(before))
+    return within.join(F.broadcast(offsets), part).withColumn(name, F.col(name) + F.col(before)).drop(part, inner, before)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -50,12 +51,14 @@ class Workspace:
     """A private sub-folder of the shared folder holding the written tables of one iterative job.
 
     A written table cuts lineage, survives the loss of executors and, unlike an RDD checkpoint, gives the optimizer real
-    size statistics, so that it can decide by size whether a join side may be broadcast.
+    size statistics, so that it can decide by size whether a join side may be broadcast. A frame read from it stays valid until
+    :func:`release` is called or the driver's process ends, which both remove the folder.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
@@ -63,8 +66,24 @@ class Workspace:
         df.write.options(**options).mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that nothing reads any more."""
+    def drop(self, name: str | None = None) -> None:
+        """Remove a table that nothing reads any more, or the whole folder."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_open: list[Workspace] = []
+
+
+def release() -> None:
+    """Remove the written tables of all operators run so far; frames that read them are no longer valid."""
+    while _open:
+        work = _open.pop()
+        try:
+            work.drop()
+        except Exception:  # the session has ended before; its folder is the cluster's to clean
+            continue
+
+
+atexit.register(release)

@@ -138,6 +138,33 @@ def test_positions_and_running_totals_without_one_task(spark):
     assert total.where("sum <> k + 1").count() == 0
 
 
+def test_positions_of_millions_of_wide_rows(spark):
+    """Adaptive execution may coalesce the two sides of a plan differently: no row may be lost, no position given twice."""
+    n = 4_000_000
+    df = spark.range(n).select(F.sha2(F.col("id").cast("string"), 512).alias("k"), F.sha2((F.col("id") + 1).cast("string"), 512).alias("wide"), F.lit(1).alias("one"))
+    placed = P.with_position(df, "k", "pos").agg(F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()
+    assert tuple(placed) == (n, n, 0, n - 1)
+    total = W.running_total(df, "one", "k", "run").agg(F.count("*"), F.count_distinct("run"), F.min("run"), F.max("run")).first()
+    assert tuple(total) == (n, n, 1, n)
+
+
+def test_filling_a_whole_frame_in_many_partitions(spark):
+    rows = [(i, None if i % 7 or i < 20 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, v int, __part int").repartition(6)
+    seen = None
+    want = {}
+    for i, v, _ in rows:
+        seen = seen if v is None else v
+        want[i] = seen
+    out = R.fill_forward(df, order_by="id", columns=["v"])
+    assert out.columns == df.columns and {r["id"]: r["v"] for r in out.collect()} == want
+    back, seen = {}, None
+    for i, v, _ in reversed(rows):
+        seen = seen if v is None else v
+        back[i] = seen
+    assert {r["id"]: r["v"] for r in R.fill_backward(df, order_by="id", columns=["v"]).collect()} == back
+
+
 def test_explode_unroll_spread(spark):
     df = spark.createDataFrame([(1, ["a", None], [1]), (2, None, None), (3, [], [5, 6])], "i int, t array<string>, n array<int>")
     assert set(values(R.explode(df, "t"), "i", "t")) == {(1, None), (1, "a"), (2, None)}
