@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,6 +163,35 @@ def row_column(df: DataFrame, name: str, fn: Callable[[dict], object], kind: str
     return out.select(*[quoted(c) for c in dict.fromkeys([*df.columns, name])])
 
 
+def series_apply(df: DataFrame, name: str, fn: Callable[..., object], columns: Sequence[str], kind: str) -> DataFrame:
+    """Adds a column computed by a Python function of whole columns: it gets a pandas Series per column for a batch of rows and
+    returns one of the same length."""
+    need(df, *columns)
+
+    @F.pandas_udf(kind)
+    def run(*batch: pd.Series) -> pd.Series:
+        return pd.Series(fn(*batch))
+
+    return df.withColumn(name, run(*[quoted(c) for c in columns]))
+
+
+def with_values(df: DataFrame, name: str, values: Sequence[object], order_by: Order, kind: str | None = None) -> DataFrame:
+    """Adds or replaces a column by local values, one per row in ``order_by``; as many values as rows, or ShapeMismatch.
+
+    The values come from the driver, so they are of driver size; the frame is joined to them by position.
+    """
+    from quillon.types import infer_column
+
+    key = free_name(df, "__pos")
+    placed = with_position(df, order_by, key)
+    if placed.count() != len(values):
+        raise ShapeMismatch(f"{len(values)} values for {placed.count()} rows")
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("__value", T._parse_datatype_string(kind) if kind else infer_column(values))])
+    given = df.sparkSession.createDataFrame(list(enumerate(values)), schema)
+    out = placed.join(given, key).drop(key)
+    return out.select(*[F.col("__value").alias(c) if c == name else quoted(c) for c in dict.fromkeys([*df.columns, name])])
+
+
 # Order, limits, samples.
 
 

@@ -10,9 +10,10 @@ from quillon.errors import EngineError, ParseError
 from quillon.plans.sql import query
 from quillon.session import get_session
 from quillon.sources.csvfile import to_csv_text
-from quillon.sources.frames import from_file, to_file, to_json_text
+from quillon.sources.frames import from_file, to_file, to_json_text, to_string
 
 FORMATS = ("table", "csv", "json", "ndjson")
+#: Rows of a table on the screen, unless --rows says otherwise; the table says how many rows it leaves out.
 SHOWN = 1000
 
 
@@ -33,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("sql")
     q.add_argument("--format", choices=FORMATS, default="table")
     q.add_argument("--output", help="write there instead, by extension or --format")
+    q.add_argument("--rows", type=int, default=SHOWN, help="rows of a table to show")
     q.add_argument("--master", default=None)
     args = parser.parse_args(argv)
     spark = get_session(master=args.master)
@@ -49,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
             for line in out.toJSON().toLocalIterator():
                 print(line)
         else:
-            out.show(SHOWN, truncate=False)
+            print(to_string(out, args.rows, width=200))
     except EngineError as error:
         print(f"{error.code}: {error}", file=sys.stderr)
         return 1

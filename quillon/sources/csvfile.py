@@ -1,15 +1,17 @@
 """Delimited text: sniffing, null tokens, sampled types, projection, and the writing options.
 
 Reading is Spark's CSV source, which splits files, prunes columns and parses in the JVM. Only a bounded sample (``SNIFF_LINES``
-lines, ``SAMPLE_ROWS`` rows) ever comes to the driver.
+lines, ``SAMPLE_ROWS`` rows) ever comes to the driver. Files are split unless quotes hold line breaks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from csv import reader as reader_of_lines
+from typing import IO
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,7 @@ from quillon.types import dtype, num_to_text
 
 SNIFF_LINES = 10
 SAMPLE_ROWS = 100
+# The separators that sniffing knows.
 SEPARATORS = (",", ";", "\t", "|")
 _INT = re.compile(r"[+-]?\d+")
 _FLOAT = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
@@ -73,11 +76,30 @@ def parse_text(value: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
+def spans_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether some record may go on in the next line: such a record leaves a line with an odd number of double quotes.
+
+    A pass over the lines in the JVM that ends at the first such line; without one every line is a record and files can be split.
+    """
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    return bool(spark.read.option("encoding", encoding).text(path).where(F.col("value").contains('"') & odd).limit(1).count())
+
+
+def _fetched(path: str, encoding: str) -> str:
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(path) as answer:
+            return answer.read().decode(encoding)
+    except OSError as error:
+        raise SourceError(f"cannot read {path!r}: {error}") from error
+
+
 def read_csv(
     spark: SparkSession,
     path: str | None = None,
     *,
-    text: str | None = None,
+    text: str | IO | None = None,
     delimiter: str | None = None,
     encoding: str = "UTF-8",
     has_header: bool = True,
@@ -90,49 +112,55 @@ def read_csv(
     columns: Sequence[str] | None = None,
     null_values: Sequence[str] = NULL_TOKENS,
     comment: str | None = None,
+    multiline: bool | None = None,
+    on_bad: str = "null",
 ) -> DataFrame:
-    """A CSV file, folder or ``text``; RFC 4180 quoting with line breaks inside quotes.
+    """A CSV file, folder, ``http(s)`` address or ``text`` (or something to read it from); RFC 4180 quoting.
 
     Short rows are padded with null, surplus fields dropped, blank lines skipped. ``header`` overrides the names, and with
-    ``has_header`` the file's own header line is still skipped. ``columns`` keeps the file's order and ignores unknown names.
-    ``skip_rows`` lines are skipped before the header (this reads the lines through one ordered pass).
+    ``has_header`` each file's own header line is still skipped. ``columns`` keeps the file's order and ignores unknown names.
+    ``skip_rows`` lines of each file are skipped before its header; lines that start with ``comment``, indented or not, are none.
+    ``multiline`` says whether quotes may hold line breaks, which keeps files from being split; by default a pass over the lines
+    finds out (:func:`spans_lines`). Types come from a sample; a later value that does not fit is null, with ``on_bad='raise'`` an
+    error, and with ``on_bad='column'`` its column is named in ``_misfits``, an array.
     """
     if (path is None) == (text is None):
         raise SourceError("pass either a path or text")
-    if text is not None:
-        lines = spark.createDataFrame([(record,) for record in _records(text.lstrip("﻿"))[skip_rows:]], "value string")
-        sample = [r[0] for r in lines.limit(SNIFF_LINES).collect()]
-    elif skip_rows:
-        # The position in the file: the scan's own order, which is exact for a single file.
-        indexed = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
-        skipped = [r[0] for r in indexed.orderBy("__at").limit(skip_rows).select("__at").collect()]
-        lines = indexed.where(F.col("__at") > max(skipped)).drop("__at") if skipped else indexed.drop("__at")
-        sample = [r[0] for r in lines.limit(SNIFF_LINES).collect()]
+    if on_bad not in ("null", "raise", "column"):
+        raise SourceError("on_bad is 'null', 'raise' or 'column'")
+    if path is not None and re.match("https?://", path):
+        path, text = None, _fetched(path, encoding)
+    if text is not None and not isinstance(text, str):
+        content = text.read()
+        text = content.decode(encoding) if isinstance(content, bytes) else content
+    many = False
+    if text is None:
+        many = spans_lines(spark, path, encoding) if multiline is None else multiline
+    options = {"encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "inferSchema": "false"}
+    if text is None and not skip_rows and not comment:
+        sample = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(SNIFF_LINES).collect()]
+        if not any(line.strip() for line in sample):
+            raise SourceError("no data to read")
+        reader = spark.read.options(sep=delimiter or sniff_delimiter(sample), header=str(has_header).lower(), multiLine=str(many).lower(), **options)
+        found = reader.csv(path).columns
+        names = _names(header, [n.strip().lstrip("\ufeff") for n in found] if has_header else None, len(found))
+        rows = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     else:
-        lines = None
-        sample = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    usable = [line for line in sample if not (comment and line.lstrip().startswith(comment))]
-    if not usable:
-        raise SourceError("no data to read") if not header else SourceError("no data beside the header")
-    sep = delimiter or sniff_delimiter(usable)
-    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "inferSchema": "false"}
-    if comment:
-        options["comment"] = comment[0]
-    reader = spark.read.options(**options)
-
-    def scan(schema: T.StructType | None, skip_header: bool) -> DataFrame:
-        r = reader.option("header", str(skip_header).lower())
-        r = r.schema(schema) if schema is not None else r
-        if lines is not None:
-            return r.csv(lines.rdd.map(lambda x: x[0]))
-        return r.option("multiLine", "true").csv(path)
-
-    found = scan(None, has_header)
-    names = list(header) if header else ([n.strip().lstrip("﻿") for n in found.columns] if has_header else [f"column_{i}" for i in range(len(found.columns))])
-    if len(names) != len(found.columns):
-        raise ShapeMismatch(f"{len(names)} names for {len(found.columns)} columns")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = scan(schema, has_header).where(~F.concat_ws("", *[quoted(n) for n in names]).rlike(r"\A\s*\z") | F.greatest(*[quoted(n) for n in names], F.lit("")).contains(" "))
+        if text is not None:
+            records, sample = _records_after(spark, text, skip_rows, comment)
+        elif many:
+            records, sample = _whole_files(spark, path, encoding, skip_rows, comment)
+        else:
+            records, sample = _lines_after(spark, path, encoding, skip_rows, comment)
+        if not sample:
+            raise SourceError("no data to read")
+        sep = delimiter or sniff_delimiter(sample)
+        first = next(reader_of_lines(sample[:1], delimiter=sep))
+        names = _names(header, [n.strip() for n in first] if has_header else None, len(first))
+        body = records.where("NOT first") if has_header else records
+        made = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {**options, "sep": sep})
+        rows = body.select(made.alias("r")).select(*[F.col("r")[f"c{i}"].alias(n) for i, n in enumerate(names)])
+    rows = rows.where(~F.concat_ws("", *[quoted(n) for n in names]).rlike(r"\A\s*\z") | F.greatest(*[quoted(n) for n in names], F.lit("")).contains(" "))
     cleaned = rows.select(*[F.when(~quoted(n).isin(*null_values), quoted(n)).alias(n) for n in names])
     chosen = [n for n in names if columns is None or n in columns]
     cleaned = cleaned.select(*[quoted(n) for n in chosen])
@@ -142,18 +170,77 @@ def read_csv(
     if open_names:
         head = cleaned.select(*[quoted(n) for n in open_names]).limit(SAMPLE_ROWS).collect()
         kinds |= {n: infer_text_type([r[i] for r in head], parse_numbers, parse_dates) for i, n in enumerate(open_names)}
-    out = cleaned.select(*[parse_text(quoted(n), kinds[n]).alias(n) for n in chosen])
+    parsed = {n: parse_text(quoted(n), kinds[n]) for n in chosen}
+    misfit = {n: quoted(n).isNotNull() & parsed[n].isNull() for n in chosen if not isinstance(kinds[n], T.StringType)}
+    if on_bad == "raise":
+        parsed |= {n: F.when(~bad, parsed[n]).when(bad, F.raise_error(F.concat(F.lit(f"{n}: no {kinds[n].simpleString()}: "), quoted(n))).cast(kinds[n])) for n, bad in misfit.items()}
+    extra = [F.filter(F.array(*[F.when(bad, n) for n, bad in misfit.items()]).cast("array<string>"), lambda x: x.isNotNull()).alias("_misfits")] if on_bad == "column" else []
+    out = cleaned.select(*[parsed[n].alias(n) for n in chosen], *extra)
     return out.limit(n_rows) if n_rows is not None else out
 
 
-def _records(text: str) -> list[str]:
-    """The records of a text: its lines, joined where a line break stands inside quotes."""
+def _names(header: Sequence[str] | None, found: list[str] | None, width: int) -> list[str]:
+    names = list(header) if header else found if found is not None else [f"column_{i}" for i in range(width)]
+    if len(names) != width:
+        raise ShapeMismatch(f"{len(names)} names for {width} columns")
+    return names
+
+
+def _usable(line: str, comment: str | None) -> bool:
+    return bool(line.strip()) and not (comment and line.lstrip().startswith(comment))
+
+
+def _records_after(spark: SparkSession, text: str, skip_rows: int, comment: str | None) -> tuple[DataFrame, list[str]]:
+    """(value, first) per record of a text, and the first records."""
+    records = [r for r in _records("\n".join(re.split(r"\r?\n", text.lstrip("\ufeff"))[skip_rows:]), comment)]
+    return spark.createDataFrame([(r, i == 0) for i, r in enumerate(records)], "value string, first boolean"), records[:SNIFF_LINES]
+
+
+def _whole_files(spark: SparkSession, path: str, encoding: str, skip_rows: int, comment: str | None) -> tuple[DataFrame, list[str]]:
+    """Files whose records span lines and whose lines count: a file is a task, as with any reader of such files."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                lines = re.split(r"\r?\n", content.decode(encoding).lstrip("\ufeff"))[skip_rows:]
+                records = list(_records("\n".join(lines), comment))
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.string()), pa.array([i == 0 for i in range(len(records))], pa.bool_())], names=["value", "first"])
+
+    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string, first boolean")
+    firsts = records.where("first").limit(1).collect()
+    rest = records.where("NOT first").limit(SNIFF_LINES - 1).collect() if firsts else []
+    return records, [r["value"] for r in [*firsts, *rest]]
+
+
+def _lines_after(spark: SparkSession, path: str, encoding: str, skip_rows: int, comment: str | None) -> tuple[DataFrame, list[str]]:
+    """The usable lines of files where each line is a record, with ``first`` for the first of each file after the skipped ones.
+
+    A line's place is the scan's own order, which grows along each file. What is found per file is a row per file.
+    """
+    lines = spark.read.option("encoding", encoding).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    place = F.row_number().over(Window.partitionBy("__file").orderBy("__at"))
+    skipped = lines.withColumn("__place", place).where(F.col("__place") <= skip_rows).groupBy("__file").agg(F.max("__at").alias("__skip"))
+    kept = lines.join(skipped, "__file", "left").where(F.col("__skip").isNull() | (F.col("__at") > F.col("__skip"))) if skip_rows else lines
+    kept = kept.where(F.trim(F.col("value")) != "")
+    kept = kept.where(~F.ltrim(F.col("value")).startswith(comment)) if comment else kept
+    firsts = kept.groupBy("__file").agg(F.min("__at").alias("__first"))
+    marked = kept.join(firsts, "__file").select(F.regexp_replace("value", "^\ufeff", "").alias("value"), (F.col("__at") == F.col("__first")).alias("first"))
+    head = marked.where("first").limit(1).collect()
+    rest = marked.where("NOT first").limit(SNIFF_LINES - 1).collect() if head else []
+    return marked, [r["value"] for r in [*head, *rest]]
+
+
+def _records(text: str, comment: str | None = None) -> list[str]:
+    """The usable records of a text: its lines, joined where a line break stands inside quotes."""
     out, held = [], ""
     for line in re.split(r"\r?\n", text):
+        if not held and not _usable(line, comment):
+            continue
         held = f"{held}\n{line}" if held else line
         if held.count('"') % 2 == 0:
-            if held.strip():
-                out.append(held)
+            out.append(held)
             held = ""
     return out + ([held] if held.strip() else [])
 

@@ -65,7 +65,10 @@ def read_json(spark: SparkSession, path: str | None = None, *, text: str | None
         return from_rows(spark, value)
     if path is None:
         raise SourceError("pass a path or text")
-    df = spark.read.option("multiLine", "true").json(path)
+    lines = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if not at and len(lines) == 2 and all(_is_object(x) for x in lines):
+        return read_ndjson(spark, path)  # an object per line under the extension of a document
+    df = spark.read.option("multiLine", "true").option("mode", "FAILFAST").json(path)
     if not at:
         return df
     try:
@@ -77,6 +80,13 @@ def read_json(spark: SparkSession, path: str | None = None, *, text: str | None
     return df.select(F.inline(F.col(at)))
 
 
+def _is_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """One object per non-blank line; a malformed line raises when it is read."""
     reader = spark.read.option("mode", "FAILFAST")
@@ -95,6 +105,27 @@ def to_json_text(df: DataFrame, pretty: bool = False) -> str:
     return json.dumps([json.loads(r[0]) for r in rows], indent=2 if pretty else None, ensure_ascii=False)
 
 
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder of documents, one per partition, each an array of objects with nulls kept and times in ISO form; one without
+    rows gives an empty file."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    shaped = _iso(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if batch.num_rows:
+                lines = pc.binary_join_element_wise(pa.array([""] + [","] * (batch.num_rows - 1) if not begun else [","] * batch.num_rows), batch.column(0), "")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([] if begun else ["["], pa.string()), lines.cast(pa.string())])], names=["value"])
+                begun = True
+        yield pa.RecordBatch.from_arrays([pa.array(["]"] if begun else ["[]"])], names=["value"])
+
+    rows = shaped.select(F.to_json(F.struct(*[quoted(c) for c in shaped.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(run, "value string").write.mode(mode).option("pathExtension", "json").text(path)
+
+
 def write_ndjson(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _iso(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
@@ -221,13 +252,15 @@ def from_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_file(df: DataFrame, path: str) -> None:
-    """By extension: registered writers first, then csv, tsv, ndjson/jsonl, parquet (folders), xlsx."""
+    """By extension: registered writers first, then csv, tsv, json, ndjson/jsonl, parquet (folders), xlsx."""
     kind = _extension(path)
     if kind in _writers:
         _writers[kind](df, path)
     elif kind in ("csv", "tsv"):
         write_csv(df, path, delimiter="\t" if kind == "tsv" else ",")
-    elif kind in ("ndjson", "jsonl", "json"):
+    elif kind == "json":
+        write_json(df, path)
+    elif kind in ("ndjson", "jsonl"):
         write_ndjson(df, path)
     elif kind == "parquet":
         write_parquet(df, path)
@@ -260,6 +293,36 @@ def shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 
 
+def to_string(df: DataFrame, head: int = 10, tail: int = 0, *, order_by: Order | None = None, width: int = 40) -> str:
+    """A boxed table of the first rows, with the number of rows left out and, given an order, the last ones."""
+    if tail and order_by is None:
+        raise InvalidOperation("the last rows depend on the order of rows: pass order_by")
+    n = df.count()
+    ordered = df.orderBy(*order_columns(order_by, "showing")) if order_by is not None else df
+    rows = [tuple(r) for r in ordered.limit(head if n > head + tail else n).collect()]
+    last = [tuple(r) for r in ordered.offset(n - tail).limit(tail).collect()] if tail and n > head + tail else []
+
+    def cell(x: object) -> str:
+        text = "null" if x is None else str(x)
+        return text if len(text) <= width else text[: width - 1] + "…"
+
+    body = [[cell(x) for x in r] for r in rows]
+    gap = [["…"] * len(df.columns)] if n > len(rows) + len(last) else []
+    body += gap + [[cell(x) for x in r] for r in last]
+    widths = [max([len(c), *(len(r[i]) for r in body)]) for i, c in enumerate(df.columns)]
+    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+
+    def line(cells: Sequence[str]) -> str:
+        return "|" + "|".join(f" {x.ljust(w)} " for x, w in zip(cells, widths)) + "|"
+
+    shown = f"{n} rows x {len(df.columns)} columns" + (f", {n - len(rows) - len(last)} rows not shown" if gap else "")
+    return "\n".join([rule, line(df.columns), rule, *map(line, body), rule, shown])
+
+
+def show(df: DataFrame, head: int = 10, tail: int = 0, *, order_by: Order | None = None) -> None:
+    print(to_string(df, head, tail, order_by=order_by))
+
+
 def chunks(df: DataFrame, size: int = 10_000) -> Iterator[list[dict]]:
     """Rows in lists of ``size``, fetched one partition at a time."""
     held: list[dict] = []

@@ -14,12 +14,14 @@ from pyspark.sql import types as T
 
 from quillon.errors import InvalidOperation
 from quillon.operators.frame import need, quoted
+from quillon.sources.csvfile import spans_lines
 
 Schema = str | T.StructType
 
 
-def stream_csv(spark: SparkSession, folder: str, schema: Schema, *, delimiter: str = ",", header: bool = True, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).options(sep=delimiter, header=str(header).lower(), quote='"', escape='"', multiLine="true")
+def stream_csv(spark: SparkSession, folder: str, schema: Schema, *, delimiter: str = ",", header: bool = True, files_per_batch: int | None = None, multiline: bool = True) -> DataFrame:
+    """``multiline=False`` lets large files be split, where quotes hold no line breaks; a stream cannot look ahead for them."""
+    reader = spark.readStream.schema(schema).options(sep=delimiter, header=str(header).lower(), quote='"', escape='"', multiLine=str(multiline).lower())
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).csv(folder)
 
 
@@ -28,9 +30,10 @@ def stream_ndjson(spark: SparkSession, folder: str, schema: Schema, *, files_per
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(folder)
 
 
-def scan_csv(spark: SparkSession, path: str, schema: Schema, *, delimiter: str = ",", header: bool = True) -> DataFrame:
-    """A lazy scan to chain operators on."""
-    return spark.read.schema(schema).options(sep=delimiter, header=str(header).lower(), quote='"', escape='"', multiLine="true").csv(path)
+def scan_csv(spark: SparkSession, path: str, schema: Schema, *, delimiter: str = ",", header: bool = True, multiline: bool | None = None) -> DataFrame:
+    """A lazy scan to chain operators on; files are split unless quotes hold line breaks, which a pass finds out if not told."""
+    many = spans_lines(spark, path) if multiline is None else multiline
+    return spark.read.schema(schema).options(sep=delimiter, header=str(header).lower(), quote='"', escape='"', multiLine=str(many).lower()).csv(path)
 
 
 def scan_ndjson(spark: SparkSession, path: str, schema: Schema) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.errors import InvalidOperation, ShapeMismatch, SourceError
+from quillon.operators import frame
 from quillon.plans import cli
 from quillon.sources import csvfile, excel, frames
 from quillon.streaming import files
@@ -137,3 +138,87 @@ def test_sessions(spark):
     out = {r["i"]: r["session"] for r in files.sessions(df, "u", "ts", ["i"]).collect()}
     assert out == {1: 1, 2: 1, 3: 2, 4: 1}
     assert files.session_windows(df, "u", "ts", 31).count() == 2
+
+
+def test_json_documents_keep_every_row(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "q" ['), "id")).alias("t")).repartition(5)
+    for kind in ("json", "ndjson"):
+        frames.to_file(df, str(tmp_path / f"x.{kind}"))
+        back = frames.from_file(spark, str(tmp_path / f"x.{kind}"))
+        assert sorted(map(tuple, back.select("id", "t").collect())) == sorted(map(tuple, df.collect())), kind
+    documents = [json.loads(p.read_text()) for p in (tmp_path / "x.json").glob("part-*")]
+    assert sum(map(len, documents)) == 1000 and documents[0][0].keys() == {"id", "t"}
+    frames.to_file(df.limit(0), str(tmp_path / "none.json"))
+    assert frames.from_file(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    assert frames.from_file(spark, str(tmp_path / "lines.json")).count() == 3
+
+
+def test_csv_files_are_split_unless_quotes_hold_line_breaks(spark, tmp_path):
+    flat, folded = tmp_path / "flat.csv", tmp_path / "folded.csv"
+    flat.write_text("a,b\n" + "".join(f'{i},"x, {i}"\n' for i in range(20_000)))
+    folded.write_text('a,b\n1,"x\ny"\n2,z\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = csvfile.read_csv(spark, str(flat))
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20_000
+        assert csvfile.read_csv(spark, str(flat), skip_rows=1, has_header=False).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in csvfile.read_csv(spark, str(folded)).collect()] == [(1, "x\ny"), (2, "z")]
+    assert [tuple(r) for r in csvfile.read_csv(spark, str(folded), skip_rows=1, header=["p", "q"], has_header=False).collect()] == [(1, "x\ny"), (2, "z")]
+
+
+def test_csv_skips_lines_of_every_file_and_indented_comments(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"made by hand\n//x\n  // note\na;b\n{i};1\n\n // more\n{i};2\n")
+    df = csvfile.read_csv(spark, str(tmp_path), skip_rows=1, comment="//")
+    assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect())) == [(i, b) for i in range(3) for b in (1, 2)]
+
+
+def test_csv_values_that_do_not_fit_the_sampled_type(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n" + "1,x\n" * 150 + "oops,y\n,z\n")
+    assert csvfile.read_csv(spark, str(path)).where("a IS NULL").count() == 2
+    assert [tuple(r) for r in csvfile.read_csv(spark, str(path), on_bad="column").where("size(_misfits) > 0").collect()] == [(None, "y", ["a"])]
+    with pytest.raises(Exception, match="oops"):
+        csvfile.read_csv(spark, str(path), on_bad="raise").collect()
+
+
+def test_csv_from_an_open_file_and_by_address(spark, tmp_path):
+    import io
+    import threading
+    from functools import partial
+    from http.server import HTTPServer, SimpleHTTPRequestHandler
+
+    assert csvfile.read_csv(spark, text=io.BytesIO(b"a,b\n1,2\n")).first()["b"] == 2
+    (tmp_path / "x.csv").write_text("a,b\n3,4\n")
+    with HTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(tmp_path))) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        assert csvfile.read_csv(spark, f"http://127.0.0.1:{server.server_port}/x.csv").first()["a"] == 3
+        server.shutdown()
+
+
+def test_shown_tables_say_what_they_leave_out(spark, capsys):
+    df = spark.range(50).withColumn("t", F.when(F.col("id") > 0, "x" * 60))
+    text = frames.to_string(df, 3, 2, order_by="id")
+    assert "50 rows x 2 columns, 45 rows not shown" in text and "null" in text and "…" in text and "| 49" in text
+    frames.show(df.limit(2))
+    assert "not shown" not in capsys.readouterr().out
+    with pytest.raises(InvalidOperation):
+        frames.to_string(df, 3, 2)
+
+
+def test_columns_from_functions_of_columns_and_from_values(spark):
+    df = spark.range(100).repartition(4)
+    out = frame.series_apply(df, "twice", lambda x: x * 2, ["id"], "bigint")
+    assert out.where("twice <> 2 * id").count() == 0
+    named = frame.with_values(df, "name", [f"n{i}" for i in range(100)], "id")
+    assert named.columns == ["id", "name"] and named.where("name <> 'n' || id").count() == 0 and named.count() == 100
+    with pytest.raises(ShapeMismatch):
+        frame.with_values(df, "name", [1], "id")
+    a, b = spark.range(5).select("id", F.lit("l").alias("side")), spark.range(5).select((F.col("id") * 10).alias("ten"), F.lit("r").alias("side"))
+    assert sorted(map(tuple, frame.assign(a, b, "id", "ten").collect())) == [(i, "r", i * 10) for i in range(5)]
+    with pytest.raises(ShapeMismatch):
+        frame.assign(a, b.limit(3), "id", "ten")
