@@ -1,12 +1,17 @@
 """Percentiles per group over very many values by distributed multi-select.
 
-Values are held as sorted chunks, one per group and input batch. In every round each partition proposes, per target (a group and
-a percentile) and on either side of the target's current pivot, the weighted median of its chunks' medians; the weighted median
-of the proposals on the side that holds the target becomes the next pivot; values are counted three ways (less, equal, greater);
-ruled-out ranges are discarded, at first by bounds, and physically whenever less than a quarter of the stored values is still
-in play. All targets of all groups advance together until each is found, so a result is exact. A round moves one small row per
-target and partition and never the values, a group of any size is spread over all partitions that hold it, and the state is a
-written table, joined by broadcast only while its counted targets are few.
+Values are held as sorted chunks, one per group and input batch. In every round each partition looks the targets (a group and a
+percentile) of its chunks up, counts less, equal and greater for their pivots by binary search, and proposes, for every range
+between pivots, the local median and the medians of the halves beside it. The counts tell which range holds the wanted rank, the
+weighted medians of that range's proposals become the next pivots, and the other ranges are discarded: at first by bounds, and
+physically whenever less than a tenth of the stored values is still in play. All targets of all groups advance together until
+each is found, so a result is exact. A pivot is always one of the values in play, so every round rules out at least one of them.
+
+A round moves one small row per target and partition and never the values; a group of any size stays spread over all partitions
+that hold it. The targets' state (bounds and pivots) lies with the driver, which hands it to the partitions, for one block of at
+most ``BLOCK_TARGETS`` targets at a time: with more targets the chunks are rewritten by block of groups once, and the blocks are
+worked off one after the other, each over its own chunks. The counts of a round are merged in tasks, one row per target, before
+they go to the driver. What a lost executor held is computed again from the written chunks.
 
 ``summaries`` finds evenly spaced percentiles per group (say per day); they are weighted points that ``merge`` combines into
 longer spans with a rank error of at most the share ``1 / points``.
@@ -20,24 +25,29 @@ null, empty and very long lists are allowed (long ones are cut into slices); an
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.errors import InvalidOperation
 from quillon.session import Workspace
 
 #: Values in one slice of a list: bounds the bytes of an Arrow batch whatever the length of the lists.
-SLICE = 1024
-#: Up to so many targets (about 100 bytes each) the state is broadcast; beyond, the join is left to the engine's sizes.
-BROADCAST_TARGETS = 100_000
+SLICE = 8192
+#: Targets whose state (about 100 bytes each, 200 with a round's counts) is with the driver at a time.
+BLOCK_TARGETS = 50_000
 #: Rewrite the chunks when the values still in play are fewer than this share of the stored ones.
-TRIM_BELOW = 0.25
-_TARGET = "array<struct<tid:int,pivot:double,lo:double,hi:double>>"
+TRIM_BELOW = 0.1
+#: Pivots of a target in a round: the median and the medians of the halves.
+PIVOTS = 3
+#: Rows a task's counts are held in before they are folded to one per target.
+FOLD_ROWS = 100_000
+_GOT = "n array<bigint>, eq array<bigint>, props array<double>"
 
 
 def _chunked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,108 +75,235 @@ def _chunked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-class _Batch:
-    """One Arrow batch of (gid, vals, targets) as flat arrays; target slots are laid out per row."""
-
-    def __init__(self, batch: pa.RecordBatch) -> None:
-        lists, targets = batch.column(1), batch.column(2)
-        self.gid = batch.column(0)
-        self.values = np.asarray(lists.flatten())
-        self.row = np.asarray(pa.compute.list_parent_indices(lists))
-        self.rows = batch.num_rows
-        flat = targets.flatten()
-        self.target_row = np.asarray(pa.compute.list_parent_indices(targets))
-        self.tid = np.asarray(flat.field("tid"))
-        first = np.searchsorted(self.target_row, np.arange(self.rows))
-        self.slot = np.arange(len(self.tid)) - first[self.target_row]
-
-        def of(name: str) -> np.ndarray:
-            return np.asarray(flat.field(name).fill_null(np.nan))
-
-        self.pivot, self.lo, self.hi = of("pivot"), of("lo"), of("hi")
-
-    def slots(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per slot: the targets (indices), and for each value whether it is in play, and its target's index."""
-        for s in range(int(self.slot.max(initial=-1)) + 1):
-            chosen = np.flatnonzero(self.slot == s)
-            of_row = np.full(self.rows, -1)
-            of_row[self.target_row[chosen]] = chosen
-            target = of_row[self.row]
-            has = target >= 0
-            lo, hi = np.where(has, self.lo[target], np.nan), np.where(has, self.hi[target], np.nan)
-            yield chosen, has & ~(self.values <= lo) & ~(self.values >= hi), target
-
-
-def _medians(starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.full(len(counts), np.nan)
-    some = counts > 0
-    out[some] = values[(starts + (counts - 1) // 2)[some]]
+def _search(values: np.ndarray, start: np.ndarray, stop: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """Per entry the place of ``x`` in the sorted stretch ``values[start:stop]``, before or after its equals."""
+    lo, hi = start.copy(), stop.copy()
+    for _ in range(int((stop - start).max(initial=0)).bit_length()):
+        middle = (lo + hi) >> 1
+        v = values[np.minimum(middle, len(values) - 1)]
+        up = (lo < hi) & ((v <= x) if right else (v < x))
+        lo, hi = np.where(up, middle + 1, lo), np.where(~up & (lo < hi), middle, hi)
+    return lo
+
+
+@dataclass
+class _Targets:
+    """The targets of some groups, ordered by group, as arrays: rank ``k`` among the values in play, bounds and pivots (NaN: none)."""
+
+    gids: pa.Array
+    group: np.ndarray
+    tid: np.ndarray
+    k: np.ndarray
+    playing: np.ndarray
+    pivots: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.group)
+
+    def only(self, chosen: np.ndarray) -> _Targets:
+        groups, group = np.unique(self.group[chosen], return_inverse=True)
+        rest = (x[chosen] for x in (self.tid, self.k, self.playing, self.pivots, self.lo, self.hi))
+        return _Targets(self.gids.take(pa.array(groups)), group, *rest)
+
+    def advanced(self, n: np.ndarray, eq: np.ndarray, proposals: np.ndarray) -> tuple[_Targets, np.ndarray]:
+        """A round further, by all partitions' counts: narrowed to the range of the rank; and the values found (NaN: not yet)."""
+        every = np.zeros((len(self), 2 * PIVOTS + 1), np.int64)
+        every[:, 0::2], every[:, 1::2] = n, eq
+        cum, line = np.cumsum(every, axis=1), np.arange(len(self))
+        place = (cum < self.k[:, None]).sum(axis=1)  # an even place is a range, an odd one a pivot
+        found = np.where(place % 2 == 1, self.pivots[line, np.minimum(place // 2, PIVOTS - 1)], np.nan)
+        region = place // 2
+        edge = np.full((len(self), 1), np.nan)
+        bounds = np.concatenate([edge, self.pivots, edge], axis=1)
+        lo, hi = bounds[line, region], bounds[line, region + 1]
+        before = np.where(place > 0, cum[line, np.maximum(place - 1, 0)], 0)
+        new = _Targets(self.gids, self.group, self.tid, self.k - before, every[line, place], _distinct(proposals[line, region]), np.where(np.isnan(lo), self.lo, lo), np.where(np.isnan(hi), self.hi, hi))
+        return new, found
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Ascending rows without repeats; what is left out becomes NaN at the end."""
+    out = np.full(rows.shape, np.nan)
+    keep = ~np.isnan(rows)
+    keep[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+    line, at = np.nonzero(keep)
+    out[line, np.cumsum(keep, axis=1)[line, at] - 1] = rows[line, at]
     return out
 
 
-def _weighted_median(key: np.ndarray, m: np.ndarray, w: np.ndarray, n_keys: int) -> np.ndarray:
-    out = np.full(n_keys, np.nan)
-    some = w > 0
+class _Pairs:
+    """An Arrow batch of (gid, vals) as pairs of a chunk and a target, with the stretch of values in play."""
+
+    def __init__(self, batch: pa.RecordBatch, targets: _Targets) -> None:
+        lists = batch.column(1)
+        self.values = np.asarray(lists.flatten())
+        lengths = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+        self.ends = np.cumsum(lengths)
+        coded = batch.column(0).dictionary_encode()
+        known = np.asarray(pa.compute.fill_null(pa.compute.index_in(coded.dictionary, targets.gids), -1))
+        group = known[np.asarray(coded.indices)]
+        starts = np.searchsorted(targets.group, np.arange(len(targets.gids) + 1))
+        per_row = np.where(group >= 0, starts[group + 1] - starts[group], 0)
+        self.row = np.repeat(np.arange(batch.num_rows), per_row)
+        self.target = np.arange(len(self.row)) - np.repeat(np.cumsum(per_row) - per_row, per_row) + starts[group[self.row]]
+        self.pivots = targets.pivots[self.target]
+        low, high = targets.lo[self.target], targets.hi[self.target]
+        start, stop = (self.ends - lengths)[self.row], self.ends[self.row]
+        self.start = np.where(np.isnan(low), start, _search(self.values, start, stop, low, True))
+        self.stop = np.where(np.isnan(high), stop, _search(self.values, start, stop, high, False))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values in each range between pivots, equal to each pivot, and the proposals of each range (NaN where there are none)."""
+        size, regions = len(self.row), PIVOTS + 1
+        start, stop = np.repeat(self.start, PIVOTS), np.repeat(self.stop, PIVOTS)
+        x = self.pivots.reshape(-1)
+        none = np.isnan(x)
+        left = np.where(none, stop, _search(self.values, start, stop, x, False)).reshape(size, PIVOTS)
+        right = np.where(none, stop, _search(self.values, start, stop, x, True)).reshape(size, PIVOTS)
+        begins = np.concatenate([self.start[:, None], right], axis=1)
+        n = np.concatenate([left, self.stop[:, None]], axis=1) - begins
+        at = begins[:, :, None] + (n[:, :, None] * np.arange(1, PIVOTS + 1)) // regions
+        some = np.broadcast_to((n > 0)[:, :, None], at.shape)
+        proposals = np.full(at.shape, np.nan)
+        proposals[some] = self.values[at[some]]
+        return n, right - left, proposals
+
+
+def _quantiles(key: np.ndarray, m: np.ndarray, w: np.ndarray, n_keys: int) -> np.ndarray:
+    """Per key the weighted median of its proposals and those of the halves; always proposals themselves, NaN for none."""
+    out = np.full((n_keys, PIVOTS), np.nan)
+    some = (w > 0) & ~np.isnan(m)
     key, m, w = key[some], m[some], w[some]
     order = np.lexsort((m, key))
-    key, m, w = key[order], m[order], w[order]
-    cum = np.cumsum(w)
-    total = np.bincount(key, w, n_keys)
+    key, m, cum = key[order], m[order], np.cumsum(w[order])
+    total = np.bincount(key, w[order], n_keys)
     before = np.cumsum(total) - total
-    reached = np.flatnonzero(2 * (cum - before[key]) >= total[key])
-    found, first = np.unique(key[reached], return_index=True)
-    out[found] = m[reached[first]]
+    held = np.flatnonzero(total > 0)
+    last = np.searchsorted(key, held, side="right") - 1
+    for j in range(PIVOTS):
+        found = np.searchsorted(cum, before[held] + total[held] * (j + 1) / (PIVOTS + 1))
+        out[held, j] = m[np.minimum(found, last)]
     return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folded(key: np.ndarray, n: np.ndarray, eq: np.ndarray, proposals: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry per key: summed counts and weighted medians of the proposals."""
+    present, at = np.unique(key, return_inverse=True)
+    if len(present) == len(key):
+        order = np.argsort(at)
+        return present, n[order], eq[order], proposals[order]
+    regions, size = PIVOTS + 1, len(present)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(at, x[:, i], size) for i in range(x.shape[1])], axis=1).astype(np.int64)
+
+    where = np.repeat(at[:, None] * regions + np.arange(regions), PIVOTS)
+    merged = _quantiles(where, proposals.reshape(-1), np.repeat(n, PIVOTS), size * regions)
+    return present, sums(n), sums(eq), merged.reshape(size, regions, PIVOTS)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
+
+
+class _Held:
+    """Counts of one task, folded to one entry per target whenever they have become many."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = self.folded = 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(_folded(*part))
+        self.rows += len(self.parts[-1][0])
+        if self.rows > 2 * self.folded + FOLD_ROWS:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, ...]:
+        self.parts = [_folded(*(np.concatenate(x) for x in zip(*self.parts)))]
+        self.rows = self.folded = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def _as_counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, eq, proposals = (np.asarray(batch.column(batch.schema.get_field_index(c)).flatten()) for c in ("n", "eq", "props"))
+    return n.reshape(-1, PIVOTS + 1), eq.reshape(-1, PIVOTS), proposals.reshape(-1, PIVOTS + 1, PIVOTS)
+
+
+def _as_lists(n: np.ndarray, eq: np.ndarray, proposals: np.ndarray) -> list[pa.Array]:
+    return [_lists(n), _lists(eq), _lists(proposals.reshape(len(n), -1))]
+
+
+def _counts(targets: _Targets) -> Callable:
     """One partition's counts and proposals: a row per target that has values in play here."""
-    gids: list[pa.Array] = []
-    parts: list[np.ndarray] = []
-    seen = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            pairs = _Pairs(batch, targets)
+            if len(pairs.row):
+                held.add(pairs.target, *pairs.counted())
+        if held.parts:
+            target, n, eq, proposals = held.fold()
+            some = n.sum(axis=1) + eq.sum(axis=1) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(target[some]), *_as_lists(n[some], eq[some], proposals[some])], names=["target", "n", "eq", "props"])
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per target of the rows of all partitions."""
+    held = _Held()
     for batch in batches:
-        b = _Batch(batch)
-        size = len(b.tid)
-        for chosen, playing, target in b.slots():
-            v, t = b.values[playing], target[playing]
-            pivot = b.pivot[t]
-            low, same = v < pivot, v == pivot
-            n = np.bincount(t, minlength=size)[chosen]
-            n_lt, n_eq = np.bincount(t[low], minlength=size)[chosen], np.bincount(t[same], minlength=size)[chosen]
-            n_gt = n - n_lt - n_eq  # without a pivot all values count as greater
-            start = np.searchsorted(t, chosen)  # values are sorted within a row, rows are in order
-            m_lt, m_gt = _medians(start, n_lt, v), _medians(start + n_lt + n_eq, n_gt, v)
-            parts.append(np.stack([b.target_row[chosen] + seen, b.tid[chosen], n_lt, n_eq, n_gt, m_lt, m_gt]))
-        gids.append(b.gid)
-        seen += b.rows
-    if not parts:
-        return
-    rows = np.concatenate(parts, axis=1)
-    rows = rows[:, rows[2] + rows[3] + rows[4] > 0]
-    coded = pa.chunked_array(gids).combine_chunks().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    gid = np.asarray(coded.indices)[rows[0].astype(np.int64)]
-    pair, key = np.unique(np.stack([gid, rows[1].astype(np.int64)]), axis=1, return_inverse=True)
-    key, k = key.reshape(-1), pair.shape[1]
-    sums = [np.bincount(key, rows[i], k).astype(np.int64) for i in (2, 3, 4)]
-    meds = [pa.array(_weighted_median(key, rows[i], rows[j], k), from_pandas=True) for i, j in ((5, 2), (6, 4))]
-    yield pa.RecordBatch.from_arrays(
-        [coded.dictionary.take(pa.array(pair[0])), pa.array(pair[1].astype(np.int32)), *(pa.array(s) for s in sums), *meds],
-        names=["gid", "tid", "n_lt", "n_eq", "n_gt", "m_lt", "m_gt"],
-    )
-
-
-def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks without the values that are ruled out for all targets."""
+        held.add(np.asarray(batch.column(0)), *_as_counts(batch))
+    if held.parts:
+        target, *counts = held.fold()
+        yield pa.RecordBatch.from_arrays([pa.array(target), *_as_lists(*counts)], names=["target", "n", "eq", "props"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, n, eq, props) of one partition before there are pivots: a row per group."""
+    held, codes = _Held(), {}
+    for batch in batches:
+        every = _Targets(pa.array([], pa.string()), *(np.empty(0, np.int64) for _ in range(4)), np.empty((0, PIVOTS)), *(np.empty(0) for _ in range(2)))
+        pairs = _Pairs(batch, every)
+        pairs.row, pairs.pivots = np.arange(batch.num_rows), np.full((batch.num_rows, PIVOTS), np.nan)
+        pairs.start, pairs.stop = np.append(0, pairs.ends)[:-1], pairs.ends
+        coded = batch.column(0).dictionary_encode()
+        code = np.array([codes.setdefault(g, len(codes)) for g in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)]
+        held.add(code, *pairs.counted())
+    if held.parts:
+        code, *counts = held.fold()
+        yield pa.RecordBatch.from_arrays([pa.array(list(codes), pa.string()).take(pa.array(code)), *_as_lists(*counts)], names=["gid", "n", "eq", "props"])
+
+
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, n, pivots) of the groups in this partition, by the counts of all."""
+    held, codes = _Held(), {}
     for batch in batches:
-        b = _Batch(batch)
-        keep = np.zeros(len(b.values), bool)
-        for _, playing, _ in b.slots():
-            keep |= playing
-        lengths = np.bincount(b.row[keep], minlength=b.rows)
-        offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.gid, pa.ListArray.from_arrays(offsets, pa.array(b.values[keep]))], names=["gid", "vals"])
+        coded = batch.column(0).dictionary_encode()
+        code = np.array([codes.setdefault(g, len(codes)) for g in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)]
+        held.add(code, *_as_counts(batch))
+    if held.parts:
+        code, n, _, proposals = held.fold()
+        yield pa.RecordBatch.from_arrays([pa.array(list(codes), pa.string()).take(pa.array(code)), pa.array(n[:, 0]), _lists(_distinct(proposals[:, 0, :]))], names=["gid", "n", "pivots"])
+
+
+def _trimmed(targets: _Targets) -> Callable:
+    """The chunks without the values that are ruled out for all targets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Pairs(batch, targets)
+            open_stretches = np.bincount(b.start, minlength=len(b.values) + 1) - np.bincount(b.stop, minlength=len(b.values) + 1)
+            keep = np.cumsum(open_stretches)[:-1] > 0
+            kept = np.append(0, np.cumsum(keep))
+            offsets = pa.array(kept[np.append(0, b.ends)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(b.values[keep]))], names=["gid", "vals"])
+
+    return run
 
 
 def percentiles(df: DataFrame, groupings: Sequence[Sequence[str]], samples: str, ps: Sequence[float]) -> DataFrame:
@@ -187,57 +324,49 @@ def percentiles(df: DataFrame, groupings: Sequence[Sequence[str]], samples: str,
     rows = rows.select(F.explode(F.array(*levels)).alias("__g"), "__vals")
     rows = rows.select(F.to_json("__g").alias("gid"), "__g.*", F.col("__vals").cast("array<double>").alias("vals"))
     first = work.write(_chunked(rows, ["grouping", *keys]), "chunks")
-    chunks, stored = first.select("gid", "vals"), 0
-    wanted = ", ".join(f"struct({i} AS tid, CAST({Decimal(str(p))} AS DECIMAL(20,10)) AS p)" for i, p in enumerate(ps))
-    state = first.groupBy("gid").agg(*(F.first(k).alias(k) for k in ["grouping", *keys])).selectExpr("*", f"inline(array({wanted}))")
-    blank = ["n", "k", "pivot", "lo", "hi", "value", "n_play"]
-    state = work.write(state.selectExpr("*", *(f"CAST(NULL AS {'bigint' if c in ('n', 'k', 'n_play') else 'double'}) AS {c}" for c in blank)), "state-0")
-    turn = 0
-    while True:
-        active = state.where("value IS NULL")
-        left, playing = active.agg(F.count(F.lit(1)), F.sum("n_play")).first()
-        if not left:
-            break
-        targets = active.groupBy("gid").agg(F.expr(f"CAST(collect_list(struct(tid, pivot, lo, hi)) AS {_TARGET})").alias("targets"))
-        if left <= BROADCAST_TARGETS:
-            targets = F.broadcast(targets)
-        joined = chunks.join(targets, "gid").select("gid", "vals", "targets")
-        if turn > 1 and playing < TRIM_BELOW * stored:
-            chunks, stored = work.write(joined.mapInArrow(_trimmed, "gid string, vals array<double>").where("size(vals) > 0"), f"chunks-{turn}"), playing
-            joined = chunks.join(targets, "gid").select("gid", "vals", "targets")
-        counted = (
-            joined.mapInArrow(_counts, "gid string, tid int, n_lt bigint, n_eq bigint, n_gt bigint, m_lt double, m_gt double")
-            .groupBy("gid", "tid")
-            .agg(
-                *(F.sum(c).alias(c) for c in ("n_lt", "n_eq", "n_gt")),
-                F.expr("percentile(m_lt, 0.5, n_lt)").alias("m_lt"),
-                F.expr("percentile(m_gt, 0.5, n_gt)").alias("m_gt"),
-            )
-        )
+    chunks = first.select("gid", "vals")
+    seen = Observation()
+    counted = chunks.mapInArrow(_sizes, f"gid string, {_GOT}").repartition("gid")
+    groups = work.write(counted.mapInArrow(_begun, "gid string, n bigint, pivots array<double>").observe(seen, F.count(F.lit(1)).alias("groups")), "groups")
+    blocks = -(-seen.get["groups"] * len(ps) // BLOCK_TARGETS)
+    block = F.pmod(F.xxhash64("gid"), F.lit(max(blocks, 1)))
+    if blocks > 1:
+        chunks.withColumn("block", block).write.partitionBy("block").parquet(f"{work.path}/blocks")
+        chunks = spark.read.schema("gid string, vals array<double>, block int").parquet(f"{work.path}/blocks")
+        groups = work.write(groups.withColumn("block", block).repartition("block"), "groups-by-block")
+    ranks = [Decimal(str(p)).as_integer_ratio() for p in ps]
+    for i in range(blocks):
+        own, its = (chunks.where(F.col("block") == i).drop("block"), groups.where(F.col("block") == i).drop("block")) if blocks > 1 else (chunks, groups)
+        found = _selected(work, own, its.toArrow(), ranks, f"block{i}")
+        spark.createDataFrame(found).coalesce(1).write.mode("append").parquet(f"{work.path}/found")
+    schema = "gid string, tid bigint, n bigint, value double"
+    results = spark.read.schema(schema).parquet(f"{work.path}/found") if blocks else spark.createDataFrame([], schema)
+    known = first.groupBy("gid").agg(*(F.first(k).alias(k) for k in ["grouping", *keys]))
+    p_of = F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("tid").cast("int") + 1)
+    return results.join(known, "gid").select(*keys, "grouping", "n", p_of.alias("p"), "value")
+
+
+def _selected(work: Workspace, chunks: DataFrame, groups: pa.Table, ranks: list[tuple[int, int]], label: str) -> pa.Table:
+    """The rounds of one block: (gid, tid, n, value) of its targets. ``ranks`` are the percentiles as fractions."""
+    n = np.asarray(groups["n"])
+    group, tid = np.repeat(np.arange(len(n)), len(ranks)), np.tile(np.arange(len(ranks)), len(n))
+    k = np.array([max(1, -(-above * int(total) // below)) for total in n for above, below in ranks], np.int64)
+    pivots = np.asarray(groups["pivots"].combine_chunks().flatten()).reshape(-1, PIVOTS)[group]
+    none = np.full(len(k), np.nan)
+    targets, value, where = _Targets(groups["gid"].combine_chunks(), group, tid, k, n[group], pivots, none, none), none.copy(), np.arange(len(k))
+    stored, turn = int(n.sum()), 0
+    while len(targets):
         turn += 1
-        state = work.write(_narrowed(state, counted), f"state-{turn}")
-        work.drop(f"state-{turn - 1}")
-        if turn == 1:
-            stored = state.agg(F.max("n").alias("n")).first()[0] and state.agg(F.sum("n")).first()[0]
-    return state.select(*keys, "grouping", "n", F.col("p").cast("double").alias("p"), "value")
-
-
-def _narrowed(state: DataFrame, counted: DataFrame) -> DataFrame:
-    """The state after a round: the first round learns n and the rank, later ones keep the side that holds it."""
-    less, equal = "k <= n_lt", "k <= n_lt + n_eq"
-    begun = "pivot IS NOT NULL"
-    new = {
-        "n": "coalesce(n, n_gt)",
-        "k": f"CASE WHEN NOT ({begun}) THEN greatest(1, CAST(ceil(p * n_gt) AS bigint)) WHEN {equal} THEN k ELSE k - n_lt - n_eq END",
-        "pivot": f"CASE WHEN NOT ({begun}) THEN m_gt WHEN {less} THEN m_lt WHEN {equal} THEN pivot ELSE m_gt END",
-        "lo": f"CASE WHEN {begun} AND NOT ({equal}) THEN pivot ELSE lo END",
-        "hi": f"CASE WHEN {begun} AND {less} THEN pivot ELSE hi END",
-        "value": f"CASE WHEN {begun} AND NOT ({less}) AND {equal} THEN pivot END",
-        "n_play": f"CASE WHEN NOT ({begun}) THEN n_gt WHEN {less} THEN n_lt WHEN {equal} THEN 0 ELSE n_gt END",
-    }
-    joined = state.where("value IS NULL").join(counted, ["gid", "tid"])
-    moved = joined.select(*(F.expr(new[c]).alias(c) if c in new else F.col(f"`{c}`") for c in state.columns))
-    return moved.unionByName(state.where("value IS NOT NULL"))
+        if targets.playing.sum() < TRIM_BELOW * stored:
+            chunks = work.write(chunks.mapInArrow(_trimmed(targets), "gid string, vals array<double>").where("size(vals) > 0"), f"{label}-chunks-{turn}")
+            stored = int(targets.playing.sum())
+        counted = chunks.mapInArrow(_counts(targets), f"target bigint, {_GOT}").repartition("target").mapInArrow(_merged, f"target bigint, {_GOT}")
+        got = counted.toArrow().combine_chunks().sort_by("target").to_batches()  # a row per target of the block
+        targets, found = targets.advanced(*_as_counts(got[0]))
+        done = ~np.isnan(found)
+        value[where[done]] = found[done]
+        targets, where = targets.only(~done), where[~done]
+    return pa.table({"gid": groups["gid"].combine_chunks().take(pa.array(group)), "tid": tid, "n": n[group], "value": value})
 
 
 def summaries(df: DataFrame, keys: Sequence[str], samples: str, points: int = 50) -> DataFrame:

@@ -138,6 +138,16 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"SELECT sale_id FROM ({_TOP})",
         "p1_top_sales": f"SELECT region, product, place, sale_id, date, amount, quantity, loaded_at FROM ({_TOP})",
         "p2_percentiles": f"WITH {_PERCENTILES} SELECT * FROM stats",
+        "p2_weeks": f"""WITH {_PERCENTILES},
+            points AS (
+                SELECT r.benchmark, date_trunc('week', r.run_day::DATE) AS week, r.x, ceil(i * r.n / 50)::BIGINT - ceil((i - 1) * r.n / 50)::BIGINT AS weight
+                FROM ranked r, generate_series(1, 50) t(i) WHERE r.run_day IS NOT NULL AND r.r = ceil(i * r.n / 50)
+            ),
+            summed AS (
+                SELECT benchmark, week, x, sum(weight) OVER (PARTITION BY benchmark, week ORDER BY x) AS cum, sum(weight) OVER (PARTITION BY benchmark, week) AS n FROM points WHERE weight > 0
+            )
+            SELECT benchmark, strftime(week, '%Y-%m-%d') AS week, p AS p, max(n)::BIGINT AS n, min(x) AS value
+            FROM summed, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) s(p) WHERE cum >= ceil(p::DECIMAL(9, 4) * n) GROUP BY benchmark, week, p""",
         "p2_found": f"""WITH {_PERCENTILES},
             days AS (SELECT d.benchmark, d.run_day, d.p50, d.p95, w.p50 AS middle FROM stats d JOIN stats w ON d.benchmark = w.benchmark AND w.run_day IS NULL WHERE d.run_day IS NOT NULL)
             SELECT benchmark, run_day, 'p50' AS stat FROM days WHERE p50 > 1.5 * middle

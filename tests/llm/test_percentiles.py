@@ -4,9 +4,11 @@ import math
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from quillon.errors import InvalidOperation
+from quillon.llm import percentiles as M
 from quillon.llm.percentiles import merge, percentiles, summaries
 
 SCHEMA = "b string, d string, samples array<double>, gid int, n int"
@@ -66,3 +68,36 @@ def test_merged_summaries_keep_the_rank_error(spark):
         assert r["n"] == len(values)
         rank = sum(v <= r["value"] for v in values)
         assert abs(rank - r["p"] * len(values)) <= len(values) / points + 1
+
+
+def test_ends_where_both_infinities_meet(spark):
+    up, down = float("inf"), float("-inf")
+    rows = [("a", "d", [down, up], 1, 1), ("a", "d", [up, down], 1, 1), ("b", "d", [down, 0.0, up], 1, 1), ("c", "d", [up] * 3, 1, 1)]
+    found = percentiles(spark.createDataFrame(rows, SCHEMA), [["b"]], "samples", [0.0, 0.5, 0.75, 1.0]).collect()
+    want = {b: sorted(v for r in rows if r[0] == b for v in r[2]) for b in "abc"}
+    assert {(r["b"], r["p"]): r["value"] for r in found} == {(b, p): nearest(v, p) for b, v in want.items() for p in (0.0, 0.5, 0.75, 1.0)}
+
+
+def test_blocks_of_targets_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_TARGETS", 7)
+    rng = random.Random(5)
+    rows = [(f"g{i % 11}", None, [rng.gauss(0, 1) for _ in range(20_000 if i == 0 else 40)], 1, 1) for i in range(33)]
+    found = percentiles(spark.createDataFrame(rows, SCHEMA).repartition(4), [["b"]], "samples", [0.5, 0.95]).collect()
+    want = {b: v for (b,), v in groups(rows, (0,)).items()}
+    assert {(r["b"], r["p"]): (r["n"], r["value"]) for r in found} == {(b, p): (len(v), nearest(v, p)) for b, v in want.items() for p in (0.5, 0.95)}
+
+
+def test_counts_folded_within_a_task_are_the_counts(monkeypatch):
+    monkeypatch.setattr(M, "FOLD_ROWS", 3)
+    rng = np.random.default_rng(1)
+    held, n_all, eq_all = M._Held(), np.zeros((4, M.PIVOTS + 1), int), np.zeros((4, M.PIVOTS), int)
+    for _ in range(20):
+        key = rng.integers(0, 4, 6)
+        n, eq = rng.integers(0, 9, (6, M.PIVOTS + 1)), rng.integers(0, 3, (6, M.PIVOTS))
+        proposals = np.where(n[:, :, None] > 0, rng.normal(size=(6, M.PIVOTS + 1, M.PIVOTS)), np.nan)
+        held.add(key, n, eq, proposals)
+        np.add.at(n_all, key, n)
+        np.add.at(eq_all, key, eq)
+    key, n, eq, proposals = held.fold()
+    assert len(key) == 4 and (n == n_all).all() and (eq == eq_all).all()
+    assert (np.isnan(proposals).all(axis=2) == (n == 0)).all()
