@@ -130,7 +130,7 @@ GRAMMARS = {
     "star and bar": rf"\*\|\s*(?P<l>{_NAME})\s*\|\*",
     "guillemets": rf"«(?P<m>{_NAME})»",
     "crosses": r"(?<![\w-])[Xx]{5,}(?![\w-])|(?<![\w-])X{4}(?![\w-])|[$€£]X{1,3}(?:[,.]X{2,3})+(?!\w)",
-    "brackets": rf"(?<![\w\]])\[(?!\])(?P<n>{_WORDS})\](?![(\[:])|(?<![\w\]])\[(?i:{_ASKED}|{_WANTED})\](?![(\[:])",
+    "brackets": rf"(?<![\w\]])\[(?!\])(?:(?P<n>{_WORDS})|(?i:{_ASKED}|{_WANTED}))\](?![(\[]|:\s*(?:https?:|[</#]))",
     "angles": rf"(?<!\w)<(?P<o>[A-Z][A-Z]+(?:[ _][A-Z]+)+)>|(?<!\w)<(?P<s>{_BARE})>|(?<!\w)<(?i:{_ASKED})>",
     "note to oneself": r"(?m:^)(?:TODO|TBD|FIXME)\s*:\s*(?i:write|add|insert|fill|describe|explain|complete|finish|update)\b[^\n]{0,80}(?m:$)",
     "to be done": r"[(\[<{](?:TBD|TBC|TODO|FIXME|XXX)\b[:\s]?[^()\[\]<>{}\n]{0,30}[)\]>}](?![(\[])",
@@ -178,7 +178,7 @@ def open_slots(own: str, shown: str) -> list[str]:
     out, about, names = [], 0, {}
     for m in PLACEHOLDER.finditer(own):
         name = next((v for v in m.groupdict().values() if v), "")
-        if name in _TAGS or (m[0][0] == "[" and len(name) == 1) or (m[0][0] == "[" and own[m.end() : m.end() + 1] == ":"):
+        if name in _TAGS or (m[0][0] == "[" and len(name) == 1):
             continue
         start, end = m.span()
         if _ABOUT_BEFORE.search(own[max(0, start - 60) : start]) or _ABOUT_AFTER.search(own[end : end + 60]) or _SHOWN.search(_sentence(own, start, end)):
@@ -298,14 +298,14 @@ def _repeats(words: list[str]) -> bool:
 
 
 def _says_nothing(words: list[str], mashed: bool, alone: bool, line: str) -> bool:
-    """Mock Latin, repetition or runs of keys; three words over and over are not enough in a text that says more.
+    """Mock Latin, repetition or runs of keys; three words over and over are enough only in a line of their own.
     ``line`` holds the words as they are written."""
     n = len(words)
     if n < 2 or CODE in words:
         return False
     if n >= 3 and not MOCK_LATIN.isdisjoint(words):
         latin = sum(w in MOCK_LATIN for w in words)
-        if words[:2] == ["lorem", "ipsum"] and FUNCTION_WORDS.isdisjoint(words):
+        if ("lorem" in words or "ipsum" in words) and (words[:2] == ["lorem", "ipsum"] or n >= 7) and FUNCTION_WORDS.isdisjoint(words):
             return True
         if 2 * latin >= n and latin >= 2 and (n >= 6 or 10 * latin >= 7 * n):
             return True
@@ -341,7 +341,7 @@ def has_filler(own: str, low: str, lines: list[str]) -> bool:
     latin = not MOCK_LATIN.isdisjoint(" ".join(lines).split())
     for written, line in zip(low.split("\n"), lines):
         sentences = line.split("\x01")
-        alone = len(lines) == len(sentences) == 1
+        alone = len(sentences) == 1
         if len(sentences) > 1:
             sentences.append(line.replace("\x01", " "))
         for sentence in sentences:
@@ -414,7 +414,7 @@ _PAGE_WORD = re.compile(
 )
 #: Somebody explains: such words are no page's.
 _EXPLAINS = re.compile(
-    r"\b(?:returns?|means?|meaning|usually|often|because (?!you are seeing)|so (?:that|check|it|the|you|we)|instead|works?|worked|keep(?:s)? getting|fix(?:e[sd])?|set the|add (?:a|the)|run|restart|look (?:at|in)|whenever|e\.g|for example|as soon as|answers? (?:with )?\d|responds? with|does|except|unless|in (?:python|java|nginx|apache|php|excel|sql)|by default|still|update the|pass|use [^\W\d_]+"
+    r"\b(?:returns?|means?|meaning|usually|often|because (?!you are seeing)|so (?:that|check|it|the|you|we)|instead|works?|worked|keep(?:s)? getting|fix(?:e[sd])?|set the|add (?:a|the)|run|restart|look (?:at|in)|whenever|e\.g|for example|as soon as|answers? (?:with )?\d|responds? with|except|unless|in (?:python|java|nginx|apache|php|excel|sql)|by default|still|update the|pass|use [^\W\d_]+"
     r"|liefert|weil|bedeutet|meistens|damit|trotzdem|renvoie|parce que|quand|signifie|devuelve|porque|cuando|significa|devolve|quando|restituisce|perché|dopo che)\b|\d[\d.,]* (?:rows|lines|zeilen|lignes|filas|linhas)\b",
     re.I,
 )

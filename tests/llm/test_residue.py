@@ -1,9 +1,18 @@
 from __future__ import annotations
 
+import sys
 import time
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
+from heldout import CLEAN as SAID
+from heldout import FILLER as HELD_FILLER
+from heldout import NOTICES as HELD_NOTICES
+from heldout import PAGES as HELD_PAGES
+from heldout import SLOTS as HELD_SLOTS
 from quillon.llm.residue import is_filler, mark_residue, residue_of, without_residue
 
 SLOTS = [
@@ -72,3 +81,20 @@ def test_time_of_pages_is_linear_in_the_length(unit):
         residue_of(text)
         took.append(time.perf_counter() - began)
     assert took[1] < 12 * took[0] + 0.5
+
+
+def test_recall_and_precision_on_texts_kept_apart():
+    held = [*HELD_PAGES, *HELD_NOTICES, *HELD_SLOTS, *HELD_FILLER]
+    assert sum(residue_of(x) is not None for x in held) >= 0.9 * len(held)
+    assert sum(residue_of(x) is not None for x in SAID) <= 0.08 * len(SAID)
+
+
+def test_tutorials_on_templates_are_discounted_by_context_and_density():
+    assert residue_of("In Jinja you write {{ name }} to print a variable and use {{ name|upper }} for capitals. The same holds for {{ city }}.") is None
+    assert residue_of("Dear {{ name }}, your order {{ number }} has left {{ city }}.") == "placeholder"
+
+
+def test_notices_and_repeats_of_any_length():
+    notice = "Please enable JavaScript to view this page.\n"
+    assert residue_of(notice * 3) == residue_of(notice * 500) == "script notice"
+    assert residue_of(" ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)) + " blah" * 4000) == "filler"
