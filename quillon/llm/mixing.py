@@ -7,9 +7,14 @@ their sizes reach what is left of the budget. The prefix ends before the budget
 documents that still fit follow, then one document, whose size is nearest to the gap, if that brings the source nearer to its
 budget.
 
-Sorting within a source is distributed: keys are mapped to ``buckets`` equal ranges of exp(-key), bucket sizes are summed with
-map-side combining, and their running sum (a row per mix, source and bucket) tells which buckets lie wholly inside or outside the
-budget. Only the one bucket on the border is sorted by key, so no source, however large, is sorted in one task.
+A prefix is found like a quantile, not by sorting: keys are cut into ``buckets`` equal ranges, bucket sizes are summed with map-side
+combining, and their running sum (a row per mix, source and bucket) tells which bucket holds the end of the budget. That bucket is
+cut again, until it holds at most ``BORDER_ROWS`` documents; only those are sorted. So no source, however large and however its
+qualities are spread, is sorted in one task, and what a pass leaves behind is one place in the order (key, document) per mix and
+source. From the table of drawn keys and these places the result is one projection.
+
+The state has one row per mix and source. Up to ``HELD_TARGETS`` such rows, which are counted first, are held by the driver and
+broadcast; beyond, they are written tables and the joins are left to the engine's sizes.
 
 A source that cannot reach its budget even at ``max_repeats`` gives all it has; other sources keep their budgets, and the report
 shows the shares reached. Draws depend on the id, the mix and the seed only, so a run can be repeated on any cluster.
@@ -29,7 +34,25 @@ from quillon.session import Workspace
 
 MIN_QUALITY = 0.01
 BUCKETS = 4096
-PASSES = 3
+PASSES = 2
+#: Documents of a mix and source that are sorted in one task.
+BORDER_ROWS = 10_000
+#: Rows of state, one per mix and source, that are held by the driver and broadcast.
+HELD_TARGETS = 10_000
+GROUP = ["mix", "source"]
+
+
+class _State:
+    """Keeps tables with a row per mix and source: small ones as local rows to broadcast, others written."""
+
+    def __init__(self, work: Workspace, targets: int) -> None:
+        self.work, self.small, self.tables = work, targets <= HELD_TARGETS, 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        if self.small:
+            return F.broadcast(df.sparkSession.createDataFrame(df.toArrow()))
+        return self.work.write(df, f"state-{self.tables}")
 
 
 def uniform(*parts: Column | str, seed: int = 0) -> Column:
@@ -61,45 +84,67 @@ def mix_sources(df: DataFrame, targets: DataFrame, doc_id: str, source: str, siz
     """(mix, source, doc id, size, copies): the documents of every mix and how often each is used."""
     quality_value = F.coalesce(F.greatest(F.col(quality).cast("double"), F.lit(MIN_QUALITY)), F.lit(MIN_QUALITY)) if quality else F.lit(1.0)
     docs = df.where((F.col(size) > 0) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), quality_value.alias("quality"))
-    docs = docs.groupBy("doc").agg(F.max(F.struct("source", "size", "quality")).alias("d")).select("doc", "d.*")
-    plan = budgets(docs, targets)
-    # A row per mix and source of a fixed table of targets: its size is the targets', not the documents'.
-    used = docs.join(F.broadcast(plan.where("budget > 0 AND max_repeats > 0").select("mix", "source", "epochs", "rest")), "source")
-    key = -F.log(uniform(F.col("doc").cast("string"), "mix", seed=seed)) / F.col("quality")
-    used = used.withColumn("key", key).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
     work = Workspace(df.sparkSession, "mixing")
-    used = used.drop("quality").withColumn("extra", F.lit(0))
-    used = work.write(used, "drawn")  # small rows; the texts are read once
-    group = ["mix", "source"]
+    # Small rows, one per document; the texts are read once.
+    docs = work.write(docs.groupBy("doc").agg(F.max(F.struct("source", "size", "quality")).alias("d")).select("doc", "d.*"), "documents")
+    plan = budgets(docs, targets).where("budget > 0 AND max_repeats > 0").select(*GROUP, "epochs", F.col("rest").cast("double").alias("r0"))
+    state = _State(work, targets.count())
+    plan = state.keep(plan)
+    key = -F.log(uniform(F.col("doc").cast("string"), "mix", seed=seed)) / F.col("quality")
+    drawn = docs.join(plan.drop("epochs", "r0"), "source").select(*GROUP, "doc", "size", key.alias("key"))
     for i in range(PASSES):
-        used = work.write(_prefix(used, buckets), f"pass-{i}")
-        # What is left of the budgets: a row per mix and source.
-        taken = used.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("now") == 1, F.col("size"))), F.lit(0)).alias("taken"))
-        used = used.join(F.broadcast(taken), group).withColumn("rest", F.col("rest") - F.col("taken")).withColumn("extra", F.col("extra") + F.col("now")).drop("now", "taken")
-    off = F.abs(F.col("size") - F.col("rest"))
-    fill = used.where((F.col("extra") == 0) & (off < F.col("rest"))).groupBy(*group).agg(F.min_by("doc", F.struct(off, "key", "doc")).alias("doc"), F.lit(1).alias("filled"))
-    used = used.join(F.broadcast(fill), [*group, "doc"], "left")  # one row per mix and source
-    copies = (F.col("epochs") + F.col("extra") + F.coalesce("filled", F.lit(0))).cast("int")
-    return used.select("mix", "source", F.col("doc").alias(doc_id), "size", copies.alias("copies")).where("copies > 0")
-
-
-def _prefix(used: DataFrame, buckets: int) -> DataFrame:
-    """``used`` with ``now`` = 1 for the longest prefix, by key, of each source's fitting documents that ``rest`` allows."""
-    group = ["mix", "source"]
-    fits = (F.col("extra") == 0) & (F.col("size") <= F.col("rest"))
-    sums = used.where(fits).groupBy(*group, "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    # At most buckets x targets rows, whatever the number of documents.
-    placed = used.join(F.broadcast(sums) if buckets <= 65536 else sums, [*group, "bucket"], "left")
-    inside = F.col("before") + F.col("bucket_size") <= F.col("rest")
-    place = F.when(~fits, "out").when(inside, "in").when(F.col("before") < F.col("rest"), "border").otherwise("out")
-    placed = placed.withColumn("place", place)
-    running = Window.partitionBy(*group, "bucket").orderBy("key", "doc").rowsBetween(Window.unboundedPreceding, 0)
-    border = placed.where("place = 'border'").withColumn("cum", F.col("before") + F.sum("size").over(running))
-    border = border.withColumn("now", (F.col("cum") <= F.col("rest")).cast("int"))
-    rest = placed.where("place <> 'border'").withColumn("now", (F.col("place") == "in").cast("int"))
-    return rest.unionByName(border.drop("cum")).drop("place", "before", "bucket_size")
+        plan = state.keep(_passed(drawn, plan, i, state, buckets))
+    # One more document, of the size nearest to what is left, if that brings the source nearer to its budget.
+    rest = F.col(f"r{PASSES}")
+    off = F.abs(F.col("size") - rest)
+    open_ones = drawn.join(plan, GROUP).where(~_taken(PASSES) & (off < rest))
+    fill = open_ones.groupBy(*GROUP).agg(F.min_by("doc", F.struct(off, "key", "doc")).alias("fill"))
+    plan = state.keep(plan.join(fill, GROUP, "left"))
+    extra = (_taken(PASSES) | F.coalesce(F.col("doc") == F.col("fill"), F.lit(False))).cast("long")
+    used = drawn.join(plan, GROUP).withColumn("copies", (F.col("epochs") + extra).cast("int"))
+    return used.select(*GROUP, F.col("doc").alias(doc_id), "size", "copies").where("copies > 0")
+
+
+def _taken(passes: int) -> Column:
+    """Whether the first so many passes took a document: it fitted, and its place is not behind the pass's end (k, d)."""
+    out = F.lit(False)
+    for i in range(passes):
+        before = (F.col("key") < F.col(f"k{i}")) | ((F.col("key") == F.col(f"k{i}")) & F.coalesce(F.col("doc") <= F.col(f"d{i}"), F.lit(False)))
+        out = out | ((F.col("size") <= F.col(f"r{i}")) & before)
+    return out
+
+
+def _passed(drawn: DataFrame, plan: DataFrame, i: int, state: _State, buckets: int) -> DataFrame:
+    """``plan`` with the end (k, d) of pass ``i``: of the longest prefix, by key, of the documents that fit what is left; and with
+    what is left then."""
+    left = F.col(f"r{i}")
+    fitting = drawn.join(plan, GROUP).where(~_taken(i) & (F.col("size") <= left))
+    # Keys as places between 0 and 1, which need no bounds to be known for the first cut.
+    fitting = fitting.select(*GROUP, "doc", "size", "key", left.alias("left"), (F.col("key") / (1 + F.col("key"))).alias("x"))
+    totals, rows = None, fitting.withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0), "before": F.lit(0).cast("bigint")})
+    while True:
+        bucket = F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
+        sums = rows.groupBy(*GROUP, F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("before").alias("before"), F.first("left").alias("left"))
+        running = Window.partitionBy(*GROUP).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("cum", F.col("before") + F.sum("s").over(running))
+        border = F.struct("lo", "hi", (F.col("cum") - F.col("s")).alias("before"), "n")
+        found = sums.groupBy(*GROUP).agg(F.min_by(border, F.when(F.col("cum") > F.col("left"), F.col("bucket"))).alias("b"), F.max("cum").alias("all"))
+        edges = state.keep(found.select(*GROUP, "b.*", "all"))
+        totals = edges.select(*GROUP, "all") if totals is None else totals
+        rows = fitting.join(edges, GROUP).where("x BETWEEN lo AND hi")  # none where all that fits is taken
+        # A range of one key cannot be cut; keys are drawn from 2**52 places, so it is no larger than the copies of a place.
+        if edges.where((F.col("n") > BORDER_ROWS) & (F.col("lo") < F.col("hi"))).isEmpty():
+            break
+    order = Window.partitionBy(*GROUP).orderBy("key", "doc").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.col("cum") <= F.col("left")
+    ends = rows.withColumn("cum", F.col("before") + F.sum("size").over(order)).groupBy(*GROUP).agg(
+        F.max(F.when(inside, F.struct("key", "doc"))).alias("end"), F.min("key").alias("first"), F.coalesce(F.max(F.when(inside, F.col("cum"))), F.first("before")).alias("sum")
+    )
+    known = plan.join(totals, GROUP, "left").join(ends, GROUP, "left")
+    over = F.col("first").isNotNull()  # else all that fits is taken
+    cut = F.when(over, F.coalesce(F.col("end.key"), F.col("first"))).otherwise(F.lit(float("inf")))
+    taken = F.when(over, F.col("sum")).otherwise(F.coalesce("all", F.lit(0)))
+    return known.select(*plan.columns, cut.alias(f"k{i}"), F.col("end.doc").alias(f"d{i}"), (F.col(f"r{i}") - taken).alias(f"r{i + 1}"))
 
 
 def shares(mixed: DataFrame, df: DataFrame, targets: DataFrame, source: str, size: str, doc_id: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.mixing import mix_sources, shares
+from quillon.llm.mixing import budgets, mix_sources, shares
 from quillon.llm.packing import containers, pack_items
 from quillon.llm.percentiles import merge, percentiles, summaries
 from quillon.llm.residue import mark_residue, without_residue
@@ -91,6 +91,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(_mixed(spark, sf_dir), _sized(spark, sf_dir), _table(spark, sf_dir, "mix_targets"), "source", "size", "doc_id")
 
 
+def p7_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every source of a mix is to give, and how often all of its documents are used for it."""
+    docs = _sized(spark, sf_dir).where("size > 0").select("source", F.col("size").cast("long").alias("size"))
+    plan = budgets(docs, _table(spark, sf_dir, "mix_targets"))
+    return plan.select("mix", "source", F.round("target_share", 6).alias("target_share"), F.round("budget", 2).alias("target_size"), "held", "docs", "epochs", F.round("rest", 2).alias("rest"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_residue(docs).where("residue IS NOT NULL").select("doc_id")
@@ -102,7 +109,7 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_top_sales, p2_found, p2_percentiles, p2_weeks, p6_pack, p6_unused, p7_mix, p7_shares, p8_found, p8_kept]
+    named = [p1_found, p1_top_sales, p2_found, p2_percentiles, p2_weeks, p6_pack, p6_unused, p7_mix, p7_shares, p7_budgets, p8_found, p8_kept]
     return {f.__name__: f for f in named}
 
 
@@ -138,6 +145,18 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"SELECT sale_id FROM ({_TOP})",
         "p1_top_sales": f"SELECT region, product, place, sale_id, date, amount, quantity, loaded_at FROM ({_TOP})",
         "p2_percentiles": f"WITH {_PERCENTILES} SELECT * FROM stats",
+        "p7_budgets": """WITH sized AS (SELECT source, octet_length(encode(text)) + 1 AS size FROM documents WHERE length(text) > 0),
+            held AS (SELECT source, sum(size)::BIGINT AS held, count(*) AS docs FROM sized GROUP BY source),
+            wanted AS (
+                SELECT mix, source, sum(greatest(weight, 0)) AS w, max(greatest(max_repeats, 0)) AS cap, max(greatest(size_factor, 0)) AS f
+                FROM mix_targets WHERE mix IS NOT NULL AND source IS NOT NULL GROUP BY mix, source
+            ),
+            planned AS (
+                SELECT mix, source, cap, w / sum(w) OVER (PARTITION BY mix) AS share, w / sum(w) OVER (PARTITION BY mix) * f * grand AS budget, coalesce(held, 0) AS held, coalesce(docs, 0) AS docs,
+                    CASE WHEN held > 0 THEN least(floor(budget / held), cap)::BIGINT ELSE 0 END AS epochs
+                FROM wanted LEFT JOIN held USING (source) CROSS JOIN (SELECT sum(size) AS grand FROM sized)
+            )
+            SELECT mix, source, round(share, 6) AS target_share, round(budget, 2) AS target_size, held, docs, epochs, round(CASE WHEN epochs < cap THEN budget - epochs * held ELSE 0 END, 2) AS rest FROM planned""",
         "p2_weeks": f"""WITH {_PERCENTILES},
             points AS (
                 SELECT r.benchmark, date_trunc('week', r.run_day::DATE) AS week, r.x, ceil(i * r.n / 50)::BIGINT - ceil((i - 1) * r.n / 50)::BIGINT AS weight

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quillon.llm import mixing as M
 from quillon.llm.mixing import mix_sources, shares
 
 DOCS = "doc long, source string, size int, quality double, mix string, copies int"
@@ -61,3 +62,33 @@ def test_seeded_and_split_over_buckets_alike(spark, docs):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert mix_sources(docs.limit(0), targets, "doc", "source", "size").count() == 0
     assert mix_sources(docs, targets.limit(0), "doc", "source", "size").count() == 0
+
+
+def test_a_source_of_extreme_qualities_is_cut_until_little_is_sorted(spark, monkeypatch):
+    """The documents drawn are those of a sort of all keys, also where nearly all keys fall into one of the first ranges."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice("abc"), rng.choice([1, 3, 20]), rng.choice([0.01, 1000.0]) if i % 9 else 0.01) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc long, source string, size int, quality double")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1, 0.5), ("m", "b", 1.0, 1, 0.5), ("m", "c", 9.0, 1, 0.5)], TARGETS)
+    sorted_rows = []
+    passed = M._passed
+
+    def watched(drawn, plan, i, state, buckets):
+        kept = state.keep
+
+        def keep(df):
+            out = kept(df)
+            if "lo" in out.columns:
+                sorted_rows.append(max(r["n"] or 0 for r in out.collect()))
+            return out
+
+        state.keep = keep
+        return passed(drawn, plan, i, state, buckets)
+
+    whole = sorted(map(tuple, mix_sources(df, targets, "doc", "source", "size", "quality", seed=2).collect()))
+    monkeypatch.setattr(M, "BORDER_ROWS", 40)
+    monkeypatch.setattr(M, "HELD_TARGETS", 0)  # the state as written tables
+    monkeypatch.setattr(M, "_passed", watched)
+    cut = sorted(map(tuple, mix_sources(df, targets, "doc", "source", "size", "quality", seed=2, buckets=32).collect()))
+    assert cut == whole and max(sorted_rows) > 40 and sorted_rows[-1] <= 40
+    assert {r[1] for r in cut} == {"a", "b", "c"}
