@@ -3,15 +3,16 @@
 Stage one hashes every hot group into subgroups, ranks within each and keeps N. The engine's window group limit applies the same
 rank before the exchange, so each map task sends at most N items per subgroup and the shuffle does not grow with a group's size.
 Stage two ranks the survivors of a group, at most N per subgroup, by score and identifier. A group of millions of rows is thus
-spread over ``salts`` tasks and no task sees more than its share. Hot are the groups with more than ``1 / HOT`` of all rows, as a
-count finds; there are fewer than ``HOT`` of them, so their table is broadcast. Other groups are one subgroup each, since every
+spread over ``salts`` tasks and no task sees more than its share. Groups are counted by ``BUCKETS`` hashes; hot are those of a hash
+with more than ``1 / HOT`` of all rows, of which there are fewer than ``HOT``. Other groups are one subgroup each, since every
 further one would send N more rows per map task.
 
 Copies of one item share their rank (``dense_rank``) and are folded after each stage. The subgroup hash mixes the identifier with
 the input split, so that even an item copied into a third of all rows is spread; the result does not depend on the split.
 
 An item that comes with several scores counts once, with its best. Such an item shows as two rows of the same identifier among a
-group's N best; only groups where that happens are ranked again, after a fold to one row per item.
+group's N best; only groups where that happens are ranked again, after a fold to one row per item. The N best rows are written
+to the shared folder once, so that this is known.
 
 Defined results for edge cases: a null or NaN score is no score and the row cannot be kept; equal scores go by smaller identifier,
 null identifiers last (they count as one item); a null group key is a group of its own; of copies that differ in other columns the
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import InvalidOperation
+from quillon.session import Workspace
 
 _SALT = "__quillon_salt"
-_MIXED = "__quillon_mixed"
 #: A group is hot with more than this share, 1 / HOT, of all rows.
 HOT = 1000
+BUCKETS = 4096
 
 
 def _orderable(kind: T.DataType) -> bool:
@@ -70,22 +72,22 @@ def top_n(df: DataFrame, group: Sequence[str], score: str, row_id: str, n: int,
     def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
         return rows.withColumn(rank, F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
-    salted = scored
+    subgroup = F.lit(0)
     if salts > 1:
-        hot = scored.groupBy(*[F.col(g).alias(f"__hot{i}") for i, g in enumerate(group)]).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > df.count() / HOT).withColumn("__hot", F.lit(True)).drop("__rows")
-        same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"__hot{i}")) for i, g in enumerate(group)])
-        subgroup = F.pmod(F.xxhash64(F.col(row_id), F.spark_partition_id()), F.lit(salts)).cast("int")
-        salted = scored.join(F.broadcast(hot), same, "left").select(*[F.col(f"`{c}`") for c in columns], F.when(F.col("__hot"), subgroup).otherwise(0).alias(_SALT))
-    else:
-        salted = scored.withColumn(_SALT, F.lit(0))
+        bucket = F.pmod(F.xxhash64(*[F.col(g) for g in group]), F.lit(BUCKETS))
+        counted = scored.groupBy(bucket.alias("bucket")).count().toArrow().to_pylist()  # a row per hash
+        hot = [r["bucket"] for r in counted if r["count"] * HOT > sum(x["count"] for x in counted)] if len(counted) > 1 else [r["bucket"] for r in counted]
+        subgroup = F.when(bucket.isin(hot), F.pmod(F.xxhash64(F.col(row_id), F.spark_partition_id()), F.lit(salts)).cast("int")).otherwise(0) if hot else subgroup
+    salted = scored.withColumn(_SALT, subgroup)
     stage1 = _fold_copies(ranked(salted, [*group, _SALT]).drop(rank), [*keys, _SALT], columns).drop(_SALT)
-    found = _fold_copies(ranked(stage1, group), [*keys, rank], columns)
-    mixed = F.count(F.lit(1)).over(Window.partitionBy(*group, row_id)) > 1
-    found = found.withColumn(_MIXED, F.max(mixed).over(Window.partitionBy(*group)))
+    found = Workspace(df.sparkSession, "topn").write(_fold_copies(ranked(stage1, group), [*keys, rank], columns).select(*columns, rank), "best")
+    twice = found.groupBy(*group, row_id).count().where("count > 1")
+    again = twice.select(*[F.col(g).alias(f"__again{i}") for i, g in enumerate(group)]).distinct()
+    if again.isEmpty():
+        return found
     # Groups with an item of several scores among their best: one row per item, the best one, and the same ranking.
-    again = found.where(_MIXED).select(*[F.col(g).alias(f"__again{i}") for i, g in enumerate(group)]).distinct()
     same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"__again{i}")) for i, g in enumerate(group)])
     folded = _fold_copies(scored.join(again, same, "left_semi"), keys, columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     single = folded.groupBy(*group, row_id).agg((F.min_by if ascending else F.max_by)(whole, F.col(score)).alias("__best")).select("__best.*")
-    return found.where(~F.col(_MIXED)).select(*columns, rank).unionByName(ranked(single, group).select(*columns, rank))
+    return found.join(again, same, "left_anti").unionByName(ranked(single, group).select(*columns, rank))
