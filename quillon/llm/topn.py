@@ -76,7 +76,8 @@ def top_n(df: DataFrame, group: Sequence[str], score: str, row_id: str, n: int,
     if salts > 1:
         bucket = F.pmod(F.xxhash64(*[F.col(g) for g in group]), F.lit(BUCKETS))
         counted = scored.groupBy(bucket.alias("bucket")).count().toArrow().to_pylist()  # a row per hash
-        hot = [r["bucket"] for r in counted if r["count"] * HOT > sum(x["count"] for x in counted)] if len(counted) > 1 else [r["bucket"] for r in counted]
+        total = sum(r["count"] for r in counted)
+        hot = [r["bucket"] for r in counted if r["count"] * HOT > total]
         subgroup = F.when(bucket.isin(hot), F.pmod(F.xxhash64(F.col(row_id), F.spark_partition_id()), F.lit(salts)).cast("int")).otherwise(0) if hot else subgroup
     salted = scored.withColumn(_SALT, subgroup)
     stage1 = _fold_copies(ranked(salted, [*group, _SALT]).drop(rank), [*keys, _SALT], columns).drop(_SALT)
