@@ -4,33 +4,44 @@ The state has one row per entity and day of the entity's span (first to last act
 
     entity..., day, a_<m> (the day's own measures), t<span>_<m> (measures of the span ending with the day), version
 
-with the measures ``amt`` (exact decimal sum), ``n`` (count), ``pinf`` and ``ninf`` (infinite amounts, counted apart so that
-they can leave a window again). ``advance`` moves a state to its next version: for the dates touched by new arrivals,
-yesterday's totals plus the day's arrivals minus the expiring day's amounts; corrections for past dates recompute exactly the
-dates whose windows hold them, everything else is carried over with its old version.
+with the measures ``amt`` (exact decimal sum), ``rem`` (what the amounts have beyond eight decimals), ``n`` (count), ``pinf`` and
+``ninf`` (infinite amounts, counted apart so that they can leave a window again).
+
+A :class:`Store` keeps the state in a folder, partitioned by version and day, and can be opened again to go on. ``advance`` takes
+one version's arrivals: they touch the days whose windows hold them, and the days a longer span adds. Touched days of an entity
+that follow each other form an island; in it a total is yesterday's total plus the day's arrivals minus the expiring day's amounts,
+as one running sum from the last untouched day. Only the partitions of touched days are written, only those and the ones within
+the longest span before them are read, and the manifest says for each day which version holds it. So a day's arrivals cost the
+same however long the history is, and a correction recomputes exactly the dates whose windows hold it.
 
 Arrivals are reduced to one row per version, entity and day before any state is touched, so the state's size depends on
 entities x days and never on the number of raw rows; a hot entity has no more state rows than any other.
 
-Defined results for edge cases: rows whose date, entity or amount is null or NaN do not count (``count_null_entity`` is not
-offered: a null entity has no span); repeated ids count once, with the earliest arrival; infinite amounts make the totals of the
-windows that hold them infinite, or NaN if both signs meet; amounts beyond +-1e20 are treated as infinite; amounts are summed
-exactly after rounding to 8 decimals; an empty input gives an empty state with the same columns; columns other than the named
-ones, whatever their names, are ignored.
+Defined results for edge cases: rows whose date, entity or amount is null or NaN do not count (a null entity has no span);
+repeated ids count once, with the earliest arrival, also when they come in a later call; infinite amounts make the totals of the
+windows that hold them infinite, or NaN if both signs meet; amounts are summed exactly to eight decimals, what is smaller as
+doubles; a finite amount beyond +-1e20 raises, since its sums could not be undone exactly; an empty input gives an empty state with
+the same columns; columns other than the named ones, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import Workspace
 
+Days = dict[dt.date, int]
+
 AMOUNT_TYPE = "decimal(38,8)"
 AMOUNT_LIMIT = 1e20
-MEASURES = ("amt", "n", "pinf", "ninf")
+MEASURES = ("amt", "rem", "n", "pinf", "ninf")
 _DAY = "__day"
 _VERSION = "__version"
 
@@ -80,121 +91,201 @@ def arrivals(df: DataFrame, spec: Trailing) -> DataFrame:
         keys = [*_entities(spec), _DAY, "__amount"]
         alone = F.when(F.col("__id").isNull(), F.monotonically_increasing_id())  # rows without an id are distinct
         rows = rows.withColumn("__alone", alone).groupBy("__id", "__alone").agg(F.min(F.struct("__at", *keys)).alias("r")).select("r.*")
-    big = F.abs(F.col("__amount")) > F.lit(AMOUNT_LIMIT)
+    amount, endless = F.col("__amount"), F.abs(F.col("__amount")) == float("inf")
+    huge = ~endless & (F.abs(amount) > F.lit(AMOUNT_LIMIT))
+    whole = F.when(huge, F.raise_error(F.concat(F.lit("amount beyond 1e20: "), amount.cast("string"))).cast(AMOUNT_TYPE)).when(~endless, amount.try_cast(AMOUNT_TYPE))
     return (
-        rows.withColumn(_VERSION, F.coalesce(F.date_trunc(spec.version, "__at").cast("date"), F.lit("1970-01-01").cast("date")))
+        rows.withColumn("__whole", whole)
+        .withColumn(_VERSION, F.coalesce(F.date_trunc(spec.version, "__at").cast("date"), F.lit("1970-01-01").cast("date")))
         .groupBy(_VERSION, *_entities(spec), _DAY)
         .agg(
-            F.coalesce(F.sum(F.when(~big, F.col("__amount").cast(AMOUNT_TYPE))), F.lit(0)).cast(AMOUNT_TYPE).alias("a_amt"),
+            F.coalesce(F.sum("__whole"), F.lit(0)).cast(AMOUNT_TYPE).alias("a_amt"),
+            F.coalesce(F.sum(F.when(~endless, amount - F.col("__whole").cast("double"))), F.lit(0.0)).alias("a_rem"),
             F.count(F.lit(1)).alias("a_n"),
-            F.count(F.when(big & (F.col("__amount") > 0), 1)).alias("a_pinf"),
-            F.count(F.when(big & (F.col("__amount") < 0), 1)).alias("a_ninf"),
+            F.count(F.when(endless & (amount > 0), 1)).alias("a_pinf"),
+            F.count(F.when(endless & (amount < 0), 1)).alias("a_ninf"),
         )
     )
 
 
-def empty_state(new: DataFrame, spec: Trailing) -> DataFrame:
-    """The state before the first version, typed like ``new`` (a result of :func:`arrivals`)."""
-    zeros = [f"{_zero_sql(c.rsplit('_', 1)[1])} AS {c}" for c in _state_columns(spec)]
-    return new.limit(0).selectExpr(*_entities(spec), _DAY, *zeros, _VERSION)
+def _islands(new: DataFrame, spans: DataFrame, spec: Trailing) -> DataFrame:
+    """(entity..., start, stop): the runs of days that arrivals touch, apart from each other by at least one day."""
+    ent, longest = _entities(spec), max(spec.spans)
+    keys = ", ".join(ent)
+    known = spans.selectExpr(*ent, "first_day AS old_first", "last_day AS old_last")
+    days = new.groupBy(*ent, _DAY).agg(F.lit(1).alias("one")).join(known, ent, "left")
+    days = days.selectExpr(
+        *ent, _DAY, "old_first", "old_last", f"least(old_first, min({_DAY}) OVER (PARTITION BY {keys})) AS first", f"greatest(old_last, max({_DAY}) OVER (PARTITION BY {keys})) AS last"
+    )
+    leaves = f"least(date_add({_DAY}, {longest - 1}), last)"
+    touched = days.selectExpr(
+        *ent,
+        f"CASE WHEN old_last IS NULL THEN first WHEN {_DAY} > old_last THEN date_add(old_last, 1) ELSE {_DAY} END AS a",
+        f"CASE WHEN old_last IS NULL THEN last WHEN {_DAY} < old_first THEN greatest(date_add(old_first, -1), {leaves}) ELSE {leaves} END AS b",
+    )
+    before = f"max(b) OVER (PARTITION BY {keys} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    begun = touched.selectExpr(*ent, "a", "b", f"CASE WHEN a <= date_add({before}, 1) THEN 0 ELSE 1 END AS begins")
+    numbered = begun.selectExpr(*ent, "a", "b", f"sum(begins) OVER (PARTITION BY {keys} ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island")
+    return numbered.groupBy(*ent, "island").agg(F.min("a").alias("start"), F.max("b").alias("stop")).drop("island")
 
 
-def advance(state: DataFrame, new: DataFrame, spec: Trailing) -> DataFrame:
-    """The next version of ``state`` after the arrivals ``new`` (one version's rows of :func:`arrivals`).
+def _renewed(old: DataFrame, new: DataFrame, islands: DataFrame, spec: Trailing) -> DataFrame:
+    """The rows of all island days. ``old`` holds the days of the islands and those within the longest span before them.
 
-    Every day emits what it adds to and takes from other days (its own amounts, the negative of them where they expire, the
-    totals of the day before the first touched one), so a touched total is yesterday's total plus arrivals minus expiring
-    amounts as one running sum. Rows are days per entity, not sales.
+    Every day emits what it adds to and takes from the days of an island: its own amounts, the negative of them where they
+    expire, and the totals of the day before the island. Rows are days per entity, not sales.
     """
     ent, longest = _entities(spec), max(spec.spans)
-    keys, part = ", ".join(ent), f"OVER (PARTITION BY {', '.join(ent)})"
-    old = state.selectExpr(*ent, _DAY, "false AS fresh", *_state_columns(spec), _VERSION)
-    zeros = [f"{_zero_sql(m)} AS t{s}_{m}" for s in spec.spans for m in MEASURES]
-    fresh = new.selectExpr(*ent, _DAY, "true AS fresh", *(f"a_{m}" for m in MEASURES), *zeros, _VERSION)
-    days = (
-        old.unionByName(fresh)
-        .repartition(*[F.col(e) for e in ent])
-        .groupBy(*ent, _DAY)
-        .agg(
-            F.expr("bool_or(fresh) AS fresh"),
-            *(F.expr(f"{_sum_sql(c)} AS {c}") for c in _state_columns(spec)),
-            F.expr(f"max({_VERSION}) FILTER (WHERE NOT fresh) AS old_version"),
-            F.expr(f"max({_VERSION}) FILTER (WHERE fresh) AS new_version"),
-        )
-        .selectExpr(
-            *ent,
-            _DAY,
-            *_state_columns(spec),
-            "old_version",
-            f"max(new_version) {part} AS new_version",
-            f"min(CASE WHEN fresh THEN {_DAY} END) {part} AS first_new",
-            f"max(CASE WHEN fresh THEN {_DAY} END) {part} AS last_new",
-            f"min({_DAY}) {part} AS first_day",
-            f"max({_DAY}) {part} AS last_day",
-            f"min(CASE WHEN old_version IS NOT NULL THEN {_DAY} END) {part} AS old_first",
-            f"max(CASE WHEN old_version IS NOT NULL THEN {_DAY} END) {part} AS old_last",
-        )
-        # Touched: from the first new day (or the gap before it) until the last new day has left the longest window.
-        .selectExpr(
-            "*",
-            "CASE WHEN first_new IS NOT NULL THEN least(first_new, date_add(old_last, 1)) END AS start",
-            f"""CASE WHEN first_new IS NOT NULL THEN least(last_day, greatest(date_add(last_new, {longest - 1}),
-                CASE WHEN first_new < old_first THEN date_add(old_first, -1) END)) END AS stop""",
-        )
-    )
-    kept = days.where(f"start IS NULL OR {_DAY} < start OR {_DAY} > stop").selectExpr(*ent, _DAY, *_state_columns(spec), f"old_version AS {_VERSION}")
-
+    own = [f"a_{m}" for m in MEASURES]
+    totals = [f"t{s}_{m}" for s in spec.spans for m in MEASURES]
+    near = islands.withColumns({"from_day": F.date_add("start", -longest)})
+    held = old.join(near, ent).where(f"{_DAY} BETWEEN from_day AND stop")
+    came = new.join(near, ent).where(f"{_DAY} BETWEEN start AND stop")
     # kind 0: the calendar, 1: own amounts, 2: yesterday's totals, otherwise the span after which the amounts expire.
-    moves = [f"IF({_DAY} BETWEEN start AND stop, array(struct({_DAY} AS d, 1 AS kind)), array())"]
-    moves.append(f"IF(date_add({_DAY}, 1) = start, array(struct(start AS d, 2 AS kind)), array())")
+    moves = [f"IF({_DAY} >= start, array(struct({_DAY} AS d, 1 AS kind)), array())"]
     moves += [f"IF(date_add({_DAY}, {s}) BETWEEN start AND stop, array(struct(date_add({_DAY}, {s}) AS d, {s + 2} AS kind)), array())" for s in spec.spans]
-    moves.append(f"IF({_DAY} = first_day, transform(sequence(start, stop), x -> struct(x AS d, 0 AS kind)), array())")
+    yesterday = f"IF(date_add({_DAY}, 1) = start, array(struct(start AS d, 2 AS kind)), array())"
+    nothing = [f"{_zero_sql(c.rsplit('_', 1)[1])} AS {c}" for c in totals]
+    rows = held.selectExpr(*ent, "start", *own, *totals, f"inline(concat({', '.join([*moves, yesterday])}))")
+    rows = rows.unionByName(came.selectExpr(*ent, "start", *own, *nothing, f"inline(concat({', '.join(moves)}))"))
+    calendar = islands.selectExpr(*ent, "start", *(f"{_zero_sql(m)} AS a_{m}" for m in MEASURES), *nothing, "inline(transform(sequence(start, stop), x -> struct(x AS d, 0 AS kind)))")
     sums = [f"coalesce(sum(a_{m}) FILTER (WHERE kind = 1), {_zero_sql(m)}) AS a_{m}" for m in MEASURES]
     for s in spec.spans:
         change = f"CASE kind WHEN 1 THEN a_{{m}} WHEN 2 THEN t{s}_{{m}} WHEN {s + 2} THEN -a_{{m}} END"
         sums += [f"coalesce(sum({change.format(m=m)}), {_zero_sql(m)}) AS c{s}_{m}" for m in MEASURES]
-    running = f"OVER (PARTITION BY {keys} ORDER BY {_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    renewed = (
-        days.where("start IS NOT NULL")
-        .selectExpr(*ent, "new_version", *_state_columns(spec), f"inline(concat({', '.join(moves)}))")
-        .withColumnRenamed("d", _DAY)
-        .groupBy(*ent, _DAY)
-        .agg(F.expr("min(kind) AS least_kind"), F.expr("max(new_version) AS new_version"), *(F.expr(x) for x in sums))
-        .where("least_kind = 0")
-        .selectExpr(
-            *ent,
-            _DAY,
-            *(f"CAST(a_{m} AS {_type(m)}) AS a_{m}" for m in MEASURES),
-            *(f"CAST(sum(c{s}_{m}) {running} AS {_type(m)}) AS t{s}_{m}" for s in spec.spans for m in MEASURES),
-            f"new_version AS {_VERSION}",
-        )
+    running = f"OVER (PARTITION BY {', '.join(ent)}, start ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    days = rows.unionByName(calendar).groupBy(*ent, "start", "d").agg(*(F.expr(x) for x in sums))
+    return days.selectExpr(
+        *ent,
+        f"d AS {_DAY}",
+        *(f"CAST(a_{m} AS {_type(m)}) AS a_{m}" for m in MEASURES),
+        *(f"CAST(sum(c{s}_{m}) {running} AS {_type(m)}) AS t{s}_{m}" for s in spec.spans for m in MEASURES),
     )
-    return kept.unionByName(renewed)
+
+
+class Store:
+    """A state in a folder: ``days`` (partitioned by version number and day), ``spans`` (first and last day of each entity),
+    ``ids`` (the identifiers that have counted) and ``manifest`` (which version number holds a day), each by version number.
+
+    A version counts once its manifest is written, so a run that broke off leaves the version before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: Trailing, types: dict[str, str]) -> None:
+        """``types``: the Spark types of the entity columns and, under the key '', of the identifier."""
+        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+        ent = [f"{e} {types[c]}" for e, c in zip(_entities(spec), spec.entity)]
+        columns = [f"{c} {_type(c.rsplit('_', 1)[1])}" for c in _state_columns(spec)]
+        self.schema = ", ".join([*ent, *columns, f"{_VERSION} date", "v int", f"{_DAY} date"])
+        self.span_schema = ", ".join([*ent, "first_day date", "last_day date", "v int"])
+        self.id_schema = f"__id {types.get('', 'bigint')}, v int, {_DAY} date"
+        self.days: Days = {}
+        self.number = 0
+        try:
+            manifest = spark.read.schema(f"{_DAY} date, held int, v int").parquet(f"{self.path}/manifest")
+            newest = manifest.agg(F.max("v")).first()[0]
+        except AnalysisException:  # a new store
+            newest = None
+        if newest is not None:
+            self.number = newest
+            self.days = {r[0]: r[1] for r in manifest.where(F.col("v") == newest).select(_DAY, "held").collect()}  # a row per day
+
+    def _partitions(self, days: Iterable[dt.date]) -> Column:
+        """The partitions that hold some days, as a condition that the scan prunes by."""
+        by_version: dict[int, list[dt.date]] = {}
+        for day in days:
+            if day in self.days:
+                by_version.setdefault(self.days[day], []).append(day)
+        return reduce(lambda x, y: x | y, [(F.col("v") == v) & F.col(_DAY).isin(held) for v, held in by_version.items()], F.lit(False))
+
+    def rows(self, days: Iterable[dt.date] | None = None) -> DataFrame:
+        """The state, or that of some days."""
+        if not self.days:
+            return self.spark.createDataFrame([], self.schema).drop("v")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/days").where(self._partitions(self.days if days is None else days)).drop("v")
+
+    def spans(self) -> DataFrame:
+        if not self.number:
+            return self.spark.createDataFrame([], self.span_schema).drop("v")
+        return self.spark.read.schema(self.span_schema).parquet(f"{self.path}/spans").where(F.col("v") == self.number).drop("v")
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The raw rows whose identifier has not counted yet; those without one are kept. A copy keeps its date, so that only the
+        identifiers of the dates that come are read."""
+        spec = self.spec
+        if spec.row_id is None or not self.number:
+            return rows
+        days = [r[0] for r in rows.select(F.col(spec.day).cast("date").alias("d")).distinct().collect()]  # a row per day
+        seen = self.spark.read.schema(self.id_schema).parquet(f"{self.path}/ids").where((F.col("v") <= self.number) & F.col(_DAY).isin([d for d in days if d])).select("__id")
+        return rows.join(seen, F.col(spec.row_id) == F.col("__id"), "left_anti")
+
+    def add(self, rows: DataFrame) -> None:
+        """Takes raw rows in, those of all versions found in them, one version after the other."""
+        rows = self.unseen(rows)
+        work = Workspace(self.spark, "arrivals")
+        new = work.write(arrivals(rows, self.spec), "arrivals")
+        ids = None
+        if self.spec.row_id:
+            day = F.col(self.spec.day).cast("date").alias(_DAY)
+            ids = rows.where(F.col(self.spec.row_id).isNotNull() & day.isNotNull()).select(F.col(self.spec.row_id).alias("__id"), day)
+        self.advance_all(new, ids)
+        work.drop()
+
+    def advance_all(self, new: DataFrame, ids: DataFrame | None = None) -> None:
+        """As :meth:`advance` for every version in rows of :func:`arrivals`; ``ids`` are written with the last one."""
+        versions = sorted(r[0] for r in new.select(_VERSION).distinct().collect())  # load periods, at most a row per day
+        for version in versions:
+            self.advance(new.where(F.col(_VERSION) == F.lit(version)), ids if version == versions[-1] else None)
+
+    def advance(self, new: DataFrame, ids: DataFrame | None = None) -> None:
+        """The next version after one version's rows of :func:`arrivals`."""
+        ent, longest, number = _entities(self.spec), max(self.spec.spans), self.number + 1
+        spans = self.spans()
+        work = Workspace(self.spark, "islands")
+        islands = work.write(_islands(new, spans, self.spec), "islands")
+        found = islands.select(F.explode(F.sequence(F.date_add("start", -longest), "stop")).alias("d"), (F.col("d") >= F.col("start")).alias("touched"))
+        near = {r[0]: r[1] for r in found.groupBy("d").agg(F.max("touched")).collect()}  # a row per day
+        touched = [d for d, is_touched in near.items() if is_touched]
+        old = self.rows(near)
+        renewed = _renewed(old.drop(_VERSION), new.drop(_VERSION), islands, self.spec).crossJoin(F.broadcast(new.agg(F.max(_VERSION).alias(_VERSION))))  # one row
+        inside = reduce(lambda x, y: x & y, [old[e] == islands[e] for e in ent]) & old[_DAY].between(islands["start"], islands["stop"])
+        carried = old.where(F.col(_DAY).isin(touched)).join(islands, inside, "left_anti") if self.days else None
+        out = renewed.unionByName(carried) if carried is not None else renewed
+        out.hint("rebalance", _DAY).write.mode("overwrite").partitionBy(_DAY).parquet(f"{self.path}/days/v={number}")
+        grown = spans.unionByName(new.selectExpr(*ent, f"{_DAY} AS first_day", f"{_DAY} AS last_day")).groupBy(*ent).agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+        grown.write.mode("overwrite").parquet(f"{self.path}/spans/v={number}")
+        if ids is not None:
+            ids.write.mode("overwrite").partitionBy(_DAY).parquet(f"{self.path}/ids/v={number}")
+        days = self.days | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(list(days.items()), f"{_DAY} date, held int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={number}")
+        self.days, self.number = days, number
+        work.drop()
 
 
 def _type(measure: str) -> str:
-    return AMOUNT_TYPE if measure == "amt" else "bigint"
+    return {"amt": AMOUNT_TYPE, "rem": "double"}.get(measure, "bigint")
 
 
 def _zero_sql(measure: str) -> str:
     return f"CAST(0 AS {_type(measure)})"
 
 
-def _sum_sql(column: str) -> str:
-    return f"CAST(sum({column}) AS {_type(column.rsplit('_', 1)[1])})"
+def open_store(df: DataFrame, spec: Trailing, path: str | None = None) -> Store:
+    """The store in a folder, or a new one in the session's shared folder, for rows like ``df``'s."""
+    types = {c: df.schema[c].dataType.simpleString() for c in spec.entity} | ({"": df.schema[spec.row_id].dataType.simpleString()} if spec.row_id else {})
+    return Store(df.sparkSession, path or Workspace(df.sparkSession, "trailing").path, spec, types)
 
 
-def trailing_state(df: DataFrame, spec: Trailing) -> DataFrame:
-    """The state after all versions found in ``df``, advanced one version at a time in order of arrival."""
-    work = Workspace(df.sparkSession, "trailing")
-    new = work.write(arrivals(df, spec), "arrivals")
-    versions = sorted(r[0] for r in new.select(_VERSION).distinct().collect())  # load periods, a handful
-    state = empty_state(new, spec)
-    for i, version in enumerate(versions):
-        state = work.write(advance(state, new.where(F.col(_VERSION) == F.lit(version)), spec), f"state-{i}")
-        if i:
-            work.drop(f"state-{i - 1}")
-    return state
+def trailing_state(df: DataFrame, spec: Trailing, path: str | None = None) -> DataFrame:
+    """The state after all versions found in ``df``, advanced one version at a time in order of arrival.
+
+    With a ``path`` the state is kept there, and the rows are added to what an earlier call has left.
+    """
+    store = open_store(df, spec, path)
+    if path:
+        store.add(df)
+    else:
+        store.advance_all(Workspace(df.sparkSession, "arrivals").write(arrivals(df, spec), "arrivals"))
+    return store.rows()
 
 
 def total_of(prefix: str) -> Column:
@@ -204,7 +295,7 @@ def total_of(prefix: str) -> Column:
         F.when(up & down, F.lit(float("nan")))
         .when(up, F.lit(float("inf")))
         .when(down, F.lit(float("-inf")))
-        .otherwise(F.col(f"{prefix}_amt").cast("double"))
+        .otherwise(F.col(f"{prefix}_amt").cast("double") + F.when(F.col(f"{prefix}_n") > 0, F.col(f"{prefix}_rem")).otherwise(0.0))
     )
 
 

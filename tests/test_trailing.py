@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators.trailing import Trailing, trailing_totals
+from quillon.operators.trailing import Trailing, report, trailing_state, trailing_totals
 
 SPEC = Trailing(("region",), "date", "amount", spans=(3, 5), row_id="sale_id", arrived="loaded_at", version="month")
 SCHEMA = "sale_id long, region string, date date, amount double, loaded_at timestamp_ntz, day string, version string"
@@ -78,3 +80,32 @@ def test_many_copies_of_one_sale_count_once(spark):
     rows = [(1, "a", dt.date(2024, 1, 1), 2.0, dt.datetime(2024, 1, 1), "", "")]
     df = spark.createDataFrame(rows, SCHEMA).crossJoin(spark.range(500)).drop("id").withColumn("extra", F.lit(1))
     assert trailing_totals(df, SPEC).first()["total_3"] == 2.0
+
+
+def test_a_kept_state_goes_on_and_writes_touched_days_only(spark, tmp_path):
+    rng, spec, path = random.Random(3), replace(SPEC, version="day"), f"file://{tmp_path}/state"
+    rows, all_rows = [], []
+    first = dt.date(2024, 1, 1)
+    for i in range(120):
+        day = first + dt.timedelta(days=rng.randrange(60))
+        rows.append((i, rng.choice("ab"), day, float(rng.randrange(9)), dt.datetime(2024, 3, 1), "", ""))
+    sizes = []
+    late = (500, "a", first, 5.0, dt.datetime(2024, 3, 2), "", "")
+    fresh = (501, "b", first + dt.timedelta(days=61), 2.0, dt.datetime(2024, 3, 3), "", "")
+    for batch in (rows, [late, fresh, rows[0]], [late, (502, "c", first, 1.0, dt.datetime(2024, 3, 4), "", "")]):
+        all_rows += batch
+        state = trailing_state(spark.createDataFrame(batch, SCHEMA), spec, path)
+        assert _got(report(state, spec)) == _brute(all_rows)
+        sizes.append(sorted(p.name for p in tmp_path.glob("state/days/v=*/__day=*")))
+    written = {v.name: len(list(v.glob("__day=*"))) for v in (tmp_path / "state" / "days").iterdir()}
+    assert written["v=1"] >= 58  # the first batch, with all days
+    assert written["v=2"] == 5 and written["v=3"] <= 6 and written["v=4"] == 1  # a correction, a new day and its gap, a new entity
+
+
+def test_small_and_huge_amounts(spark):
+    d = dt.date(2024, 1, 1)
+    rows = [(1, "a", d, 1e-9, None, "", ""), (2, "a", d, 0.3, None, "", ""), (3, "a", d + dt.timedelta(days=8), 1.0, None, "", "")]
+    out = {r["date"]: r for r in trailing_totals(spark.createDataFrame(rows, SCHEMA), SPEC).collect()}
+    assert out[d]["total_3"] == pytest.approx(0.300000001, rel=1e-15) and out[d + dt.timedelta(days=4)]["total_3"] == 0.0
+    with pytest.raises(Exception, match="1e20"):
+        trailing_totals(spark.createDataFrame([(1, "a", d, 3e20, None, "", "")], SCHEMA), SPEC).collect()
