@@ -234,9 +234,9 @@ class Store:
         """As :meth:`advance` for every version in rows of :func:`arrivals`; ``ids`` are written with the last one."""
         versions = sorted(r[0] for r in new.select(_VERSION).distinct().collect())  # load periods, at most a row per day
         for version in versions:
-            self.advance(new.where(F.col(_VERSION) == F.lit(version)), ids if version == versions[-1] else None)
+            self.advance(new.where(F.col(_VERSION) == F.lit(version)), version, ids if version == versions[-1] else None)
 
-    def advance(self, new: DataFrame, ids: DataFrame | None = None) -> None:
+    def advance(self, new: DataFrame, version: dt.date, ids: DataFrame | None = None) -> None:
         """The next version after one version's rows of :func:`arrivals`."""
         ent, longest, number = _entities(self.spec), max(self.spec.spans), self.number + 1
         spans = self.spans()
@@ -246,9 +246,10 @@ class Store:
         near = {r[0]: r[1] for r in found.groupBy("d").agg(F.max("touched")).collect()}  # a row per day
         touched = [d for d, is_touched in near.items() if is_touched]
         old = self.rows(near)
-        renewed = _renewed(old.drop(_VERSION), new.drop(_VERSION), islands, self.spec).crossJoin(F.broadcast(new.agg(F.max(_VERSION).alias(_VERSION))))  # one row
-        inside = reduce(lambda x, y: x & y, [old[e] == islands[e] for e in ent]) & old[_DAY].between(islands["start"], islands["stop"])
-        carried = old.where(F.col(_DAY).isin(touched)).join(islands, inside, "left_anti") if self.days else None
+        renewed = _renewed(old.drop(_VERSION), new.drop(_VERSION), islands, self.spec).withColumn(_VERSION, F.lit(version))
+        there = islands.withColumnsRenamed({e: f"{e}_of" for e in ent})
+        inside = reduce(lambda x, y: x & y, [F.col(e) == F.col(f"{e}_of") for e in ent]) & F.col(_DAY).between(F.col("start"), F.col("stop"))
+        carried = old.where(F.col(_DAY).isin(touched)).join(there, inside, "left_anti") if self.days else None
         out = renewed.unionByName(carried) if carried is not None else renewed
         out.hint("rebalance", _DAY).write.mode("overwrite").partitionBy(_DAY).parquet(f"{self.path}/days/v={number}")
         grown = spans.unionByName(new.selectExpr(*ent, f"{_DAY} AS first_day", f"{_DAY} AS last_day")).groupBy(*ent).agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
