@@ -233,7 +233,7 @@ def _as_counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _as_lists(n: np.ndarray, eq: np.ndarray, proposals: np.ndarray) -> list[pa.Array]:
-    return [_lists(n), _lists(eq), _lists(proposals.reshape(len(n), -1))]
+    return [_lists(n), _lists(eq), _lists(proposals.reshape(len(n), (PIVOTS + 1) * PIVOTS))]
 
 
 def _counts(targets: _Targets) -> Callable:

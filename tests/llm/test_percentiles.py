@@ -101,3 +101,10 @@ def test_counts_folded_within_a_task_are_the_counts(monkeypatch):
     key, n, eq, proposals = held.fold()
     assert len(key) == 4 and (n == n_all).all() and (eq == eq_all).all()
     assert (np.isnan(proposals).all(axis=2) == (n == 0)).all()
+
+
+def test_a_partition_without_values_in_play_gives_no_rows(spark):
+    rows = [("a", None, [float(1000 * part + i) for i in range(100)], 1, 1) for part in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA).repartitionByRange(4, "samples")
+    found = percentiles(df, [["b"]], "samples", [0.1, 0.2]).collect()
+    assert {r["p"]: (r["n"], r["value"]) for r in found} == {0.1: (400, 39.0), 0.2: (400, 79.0)}
